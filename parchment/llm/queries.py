@@ -9,6 +9,7 @@ from parchment.llm import language_id, quality
 from parchment.llm.bpe import bpe_round_trip
 from parchment.llm.common import documents, id_crc32
 from parchment.llm.exact_dedup import exact_dedup
+from parchment.llm.jaccard import NgramJoin
 from parchment.llm.line_dedup import remove_boilerplate
 from parchment.llm.packing import pack
 from parchment.llm.secrets import scan_secrets
@@ -25,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out(3, 1), "lang_pred", "score", "runner_up", "ambiguous")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(documents(spark, sf_dir)).components()
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -57,7 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets)
+    for f in (op1_language_id, op2_ngram_jaccard, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets)
 }
 
 ORACLE_SQL = {
