@@ -16,6 +16,7 @@ from parchment.llm.common import id_crc32, keep_only, row_sums, slices, text_byt
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 SLOTS = 1 << 15
+SLICE, BLOCK = 1 << 19, 1 << 17
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[65:91] += 32
 LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -38,28 +39,23 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     return best
 
 
-def gram_slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of each n-gram within a row, orders after each other, and the row of each."""
+def gram_slots(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the slot of each n-gram within a row, and its row, rows ascending."""
     data = LETTERS[data]
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     keep = np.ones(len(data), bool)  # white space and marks count once, not in runs
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32) | (row[1:] != row[:-1])
     data, row = data[keep], row[keep]
-    slots, rows = [], []
     code = np.zeros(len(data), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         m = len(data) - n + 1
         if m <= 0:
-            break
+            return
         code = code[:m] * np.uint32(0x01000193) ^ data[n - 1 :]
         if n in ORDERS:
-            whole = row[: m] == row[n - 1 :]
-            mixed = (code ^ np.uint32(n * 0x1B873593 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-            slots.append((mixed >> np.uint32(17))[whole])
-            rows.append(row[:m][whole])
-    if not slots:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return np.concatenate(slots), np.concatenate(rows)
+            whole = row[:m] == row[n - 1 :]
+            mixed = (code[whole] ^ np.uint32(n * 0x1B873593 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+            yield mixed >> np.uint32(17), row[:m][whole]
 
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -86,10 +82,13 @@ class LanguageModel:
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Mean log odds per n-gram of each row and bit."""
-        slots, rows = gram_slots(data, at)
-        order = np.argsort(rows, kind="stable")
-        sums = row_sums(self.weights[slots[order]], np.searchsorted(rows[order], np.arange(len(at))))
-        n = np.bincount(rows, minlength=len(at) - 1)
+        sums, n = np.zeros((len(at) - 1, self.weights.shape[1])), np.zeros(len(at) - 1, np.int64)
+        for slots, rows in gram_slots(data, at):
+            n += np.bincount(rows, minlength=len(n))
+            for i in range(0, len(slots), BLOCK):
+                of = rows[i : i + BLOCK]
+                start = np.flatnonzero(np.diff(of, prepend=-1))
+                sums[of[start]] += np.add.reduceat(self.weights[slots[i : i + BLOCK]], start, axis=0, dtype=np.float64)
         return sums / np.maximum(n, 1)[:, None] * np.minimum(n, self.reach)[:, None]
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +121,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(number) * SLOTS, np.int64)
-        for batch in slices(batches, "text"):
-            slots, rows = gram_slots(*text_bytes(batch.column("text")))
+        for batch in slices(batches, "text", SLICE):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            total += np.bincount(lang[rows] * SLOTS + slots, minlength=len(total))
+            for slots, rows in gram_slots(*text_bytes(batch.column("text"))):
+                total += np.bincount(lang[rows] * SLOTS + slots, minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
 
@@ -136,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def right_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(model.code.shape[1]), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             margins = model.margins(*text_bytes(batch.column("text")))
             truth = model.code[[number[x] for x in batch.column("lang").to_pylist()]]
             right += (margins * truth > 0).sum(0)
@@ -164,7 +163,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, at = text_bytes(batch.column("text"))
             known = has_letter(data, at) & bool(model.languages)
             best, first, second = model.decode(model.margins(data, at)) if model.languages else (np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known)))
