@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm import language_id, quality
 from parchment.llm.bpe import bpe_round_trip
+from parchment.llm.chroma import align, sung
 from parchment.llm.common import documents, id_crc32
 from parchment.llm.exact_dedup import exact_dedup
 from parchment.llm.jaccard import NgramJoin
@@ -30,6 +31,13 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(documents(spark, sf_dir)).components()
 
 
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the turns of `conversations`, sung; rec_id is conv_id * 4096 + turn."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = turns.select((F.col("conv_id") * 4096 + F.col("turn")).alias("rec_id"), "text")
+    return align(sung(turns, "rec_id", "text"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -62,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_ngram_jaccard, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets)
+    for f in (op1_language_id, op2_ngram_jaccard, op3_chroma, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets)
 }
 
 ORACLE_SQL = {
