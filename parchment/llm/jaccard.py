@@ -93,7 +93,7 @@ class Bands:
 
     @cached_property
     def segments(self) -> np.ndarray:
-        return self.allowed + 1 + np.where(self.allowed > 0, np.maximum(1, self.allowed // 5), 0)
+        return self.allowed + 1 + np.where(self.allowed > 0, np.maximum(1, self.allowed // 8), 0)
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The band of each size, and that of its largest partner."""
@@ -160,8 +160,9 @@ class NgramJoin:
        a block of a task stay there with the block's first node as a star; only one row for
        a key and block is shuffled, so that no key, however common, meets in a task whole.
     2. Of each node's partners (the first and the previous node of its keys) the one with the most
-       common segments is verified, unless the sketches rule it out. These links
-       give components; a cluster of any size takes one verification per node.
+       common segments is verified, unless the sketches rule it out; so is, at crowded keys, the
+       node that shares most such keys. These links give components; a cluster of any size
+       takes two verifications per node.
     3. What is left are pairs with an equal segment across components. In every key with
        several components, nodes outside the first node's component are joined with all others;
        sketches and sizes decide within the join, and what passes is verified.
@@ -206,6 +207,8 @@ class NgramJoin:
             first[1:] = key[1:] != key[:-1]
             via = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
             at = np.where(first, key, mix(key ^ mix(node.view(np.uint64)))).view(np.int64)
+            order = np.argsort(node, kind="stable")  # equal nodes next to each other compress well
+            at, node, key, via, first = (x[order] for x in (at, node, key, via, first))
             return pa.RecordBatch.from_arrays([pa.array(at), pa.array(node), pa.array(key.view(np.int64), mask=first), pa.array(via, mask=first)], ["at", "node", "key", "via"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +293,35 @@ class NgramJoin:
 
         return both.mapInArrow(run, "a long, b long")
 
+    def closest(self, pairs: DataFrame) -> DataFrame:
+        """Of each a the b that it meets most often."""
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("common")).groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+
+    def hub_pairs(self, met: DataFrame, members: DataFrame, crowd: int = 8) -> DataFrame:
+        """(a, b): members of crowded keys with their key's hub, the member that stands at most crowded keys.
+
+        Near copies of one text differ from it less than from each other, and it shares most keys.
+        """
+        crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= crowd).select("key")
+        crowds = shared_table(members.join(crowded, "key", "left_semi"), "crowds")
+        fame = crowds.groupBy("node").agg(F.count("*").alias("fame"))
+        hubs = crowds.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("hub"))
+        return crowds.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).where("a != b")
+
     def components(self) -> DataFrame:
         """One row per row of `docs`: doc_id, n_shingles, component_id, its smallest doc_id."""
         rows = shared_table(self.nodes(), "nodes")
         info = shared_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
         facts = info.select("node", "n", "sketch")
         met = shared_table(self.meetings(), "meetings")
+        members = met.select("key", "node").union(met.select("key", F.col("first").alias("node"))).distinct()
         pairs = met.select("node", "first").union(met.where("previous != first").select("node", "previous")).toDF("a", "b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+        best = self.closest(pairs).union(self.closest(self.hub_pairs(met, members))).distinct()
         best = best.join(facts.toDF("a", "n_a", "sketch_a"), "a").join(facts.toDF("b", "n_b", "sketch_b"), "b")
         best = shared_table(best.where(self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "pairs")
         links = shared_table(self.verified(best), "links")
         comps = components(links)
 
-        members = met.select("key", "node").union(met.select("key", F.col("first").alias("node"))).distinct()
         firsts = met.groupBy("node", "first").agg(F.count("*").alias("keys"))
         named = comps.select(F.col("node"), "comp")
         across = firsts.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
