@@ -2,5 +2,379 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchment.functions import geometry, text
+from parchment.functions.dates import parse_date
+from parchment.functions.numbers import parse_number
+from parchment.operators import evaluate, export, fallback, match
+from parchment.operators.parse import clean_answers
+from parchment.plans.extract import extract
+from parchment.sources import files, views
+
+DUCK = views.ctes(views.DUCK)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_answers(views.model_answers(spark, sf_dir))
+
+
+def top_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.long_fields(clean(spark, sf_dir)).where("item_no IS NULL AND kind = 'number'")
+
+
+# Shared parts of the SQL: undamaged and answered values, straight from the tables.
+ANSWERED = f"""
+    answered AS (
+        SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS invoice_date,
+               round(o_totalprice * 100) / 100 AS subtotal, round((o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.37 ELSE 0 END) * 100) / 100 AS total_amount,
+               CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END AS vendor_name, n_items
+        FROM heads)"""
+TOKENS = r"""
+    tokens AS (
+        SELECT doc_id, page, line_no, text, box, unnest(regexp_extract_all(text, '-?\d[\d.,]*')) AS token FROM ocr_lines),
+    printed AS (SELECT doc_id, page, line_no, text, box, TRY_CAST(CASE WHEN length(token) - length(replace(token, '.', '')) > 1 OR (token LIKE '%.%' AND regexp_matches(token, '\.\d{3}$') AND NOT token LIKE '0.%' AND token NOT LIKE '%,%') THEN replace(token, '.', '')
+                        WHEN token LIKE '%,%' AND token NOT LIKE '%.%' THEN replace(token, ',', '') ELSE replace(token, ',', '') END AS DOUBLE) AS number FROM tokens)"""
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
+    hits AS (SELECT a.doc_id, p.line_no, p.text FROM answered a JOIN printed p ON p.doc_id = a.doc_id AND abs(abs(p.number) - abs(a.total_amount)) < 0.005),
+    best AS (SELECT doc_id, max(line_no) AS line_no, arg_max(text, line_no) AS text FROM hits GROUP BY doc_id)
+    SELECT a.doc_id, a.total_amount, CASE WHEN b.doc_id IS NULL THEN 'low' ELSE 'high' END AS confidence, b.text AS matched_text FROM answered a LEFT JOIN best b ON b.doc_id = a.doc_id"""
+)
+def printed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which totals are printed on their document, with which confidence and where."""
+    fields = top_numbers(spark, sf_dir).where("field = 'total_amount'")
+    found = match.results(fields, match.best_window(match.score_numbers(fields, views.ocr_lines(spark, sf_dir))))
+    return found.select("doc_id", F.col("value_num").alias("total_amount"), "confidence", "matched_text")
+
+
+@query(f"WITH {DUCK} SELECT doc_id, page, line_no, text, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM ocr_lines")
+def scan_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR lines from raw polygons: boxes, trimmed texts, confidence threshold."""
+    lines = views.ocr_lines(spark, sf_dir)
+    b = F.col("box")
+    raw = lines.select("doc_id", "page", "line_no", F.concat(F.lit("  "), "text", F.lit("\t")).alias("text"), F.array(b.x1, b.x0, b.x0, b.x1).alias("xs"), F.array(b.y0, b.y0, b.y1, b.y1).alias("ys"), "confidence")
+    doubtful = raw.withColumn("confidence", F.lit(0.3)).unionByName(raw.withColumn("text", F.lit("   ")))
+    return files.ocr_scan(raw.unionByName(doubtful)).select("doc_id", "page", "line_no", "text", "box.x0", "box.y0", "box.x1", "box.y1")
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, l_orderkey % 6 AS kind FROM lineitem)
+    SELECT l_orderkey, l_linenumber, kind, CASE kind WHEN 4 THEN NULL WHEN 5 THEN CAST(c // 100 AS DOUBLE) WHEN 3 THEN -(c / 100.0) ELSE c / 100.0 END AS number FROM v"""
+)
+def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts written in six ways, read back."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    plain = text.show_money(F.col("l_extendedprice"))
+    english = text.show_money(F.col("l_extendedprice"), commas=True)
+    european = F.translate(english, ",.", ".,")
+    kind = F.col("l_orderkey") % 6
+    whole = F.split(english, r"\.")[0]
+    raw = F.when(kind == 0, F.concat(european, F.lit(" €"))).when(kind == 1, F.concat(F.lit("RM "), english)).when(kind == 2, F.replace(plain, F.lit("."), F.lit(","))).when(kind == 3, F.concat(F.lit("("), english, F.lit(")"))).when(kind == 4, F.lit("EUR")).otherwise(whole)
+    return rows.select("l_orderkey", "l_linenumber", kind.alias("kind"), parse_number(raw).alias("number"))
+
+
+@query(
+    """SELECT o_orderkey, o_orderkey % 8 AS kind, CASE WHEN o_orderkey % 8 = 7 THEN NULL WHEN o_orderkey % 8 = 3 AND month(o_orderdate) <= 12 AND day(o_orderdate) <= 12
+         THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS day FROM orders"""
+)
+def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in eight ways, read back; month-first dates that fit day-first are read so."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    patterns = ["yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy", "MM/dd/yyyy", "yyyyMMdd", "MMMM d, yyyy", "dd.MM.yy"]
+    kind = F.col("o_orderkey") % 8
+    raw = F.lit("not a date")
+    for i, pattern in enumerate(patterns):
+        raw = F.when(kind == i, F.date_format("o_orderdate", pattern)).otherwise(raw)
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(raw, F.lit(" 8:13:39 PM"))).otherwise(raw)
+    return rows.select("o_orderkey", kind.alias("kind"), parse_date(raw).alias("day"))
+
+
+@query(
+    f"WITH {DUCK}, {ANSWERED} SELECT doc_id, vendor_name, 'INV' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS invoice_number, invoice_date, 'MYR' AS currency, subtotal, total_amount, n_items, CAST(NULL AS VARCHAR) AS error FROM answered"
+)
+def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers parsed, repaired, cleaned and typed (JS1-JS3, P3-P6)."""
+    return clean(spark, sf_dir).select("doc_id", "vendor_name", "invoice_number", "invoice_date", "currency", "subtotal", "total_amount", F.size("line_items").alias("n_items"), "error")
+
+
+@query(
+    f"WITH {DUCK}, {ANSWERED} SELECT i.l_orderkey AS doc_id, i.item_no AS line, p_name AS description, l_quantity AS quantity, CAST(NULL AS DOUBLE) AS unit_price, round(l_extendedprice * 100) / 100 AS total FROM items i"
+)
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their number."""
+    rows = clean(spark, sf_dir)
+    names = rows.select("doc_id", F.col("doc_id").cast("string").alias("file_name"), F.col("error"))
+    return export.item_rows(names, rows).drop("file_name")
+
+
+@query(
+    f"""WITH {DUCK}, w AS (SELECT a.doc_id, a.page, a.line_no AS start, b.line_no - a.line_no + 1 AS size FROM ocr_lines a JOIN ocr_lines b ON a.doc_id = b.doc_id AND a.page = b.page AND b.line_no BETWEEN a.line_no AND a.line_no + 5)
+    SELECT w.doc_id, w.page, w.start, CAST(w.size AS INTEGER) AS size, string_agg(l.text, ' ' ORDER BY l.line_no) AS text, max(l.box.x1) AS x1, max(l.box.y1) AS y1
+    FROM w JOIN ocr_lines l ON l.doc_id = w.doc_id AND l.line_no BETWEEN w.start AND w.start + w.size - 1 GROUP BY ALL"""
+)
+def ocr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one to six lines of a page."""
+    return match.windows(views.ocr_lines(spark, sf_dir)).select("doc_id", "page", "start", "size", "text", "box.x1", "box.y1")
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED} SELECT a.doc_id, a.invoice_date, CASE WHEN a.invoice_date IS NULL THEN NULL ELSE 'high' END AS confidence,
+        CASE WHEN a.invoice_date IS NULL THEN NULL ELSE 'Date: ' || strftime(a.invoice_date, '%d/%m/%Y') END AS matched_text FROM answered a"""
+)
+def match_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice dates found on their documents."""
+    fields = match.long_fields(clean(spark, sf_dir)).where("field = 'invoice_date'")
+    found = match.results(fields, match.best_window(match.score_dates(fields, views.ocr_lines(spark, sf_dir))))
+    return found.select("doc_id", F.col("value_date").alias("invoice_date"), "confidence", "matched_text")
+
+
+@query(f"""WITH {DUCK} SELECT doc_id, 'MYR' AS currency, 'high' AS confidence, min(line_no) AS line FROM ocr_lines WHERE regexp_matches(lower(text), '(^|[^0-9a-z])rm($|[^0-9a-z])') GROUP BY doc_id""")
+def match_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currencies found as names or symbols."""
+    fields = match.long_fields(clean(spark, sf_dir)).where("field = 'currency'")
+    found = match.results(fields, match.best_window(match.score_currencies(fields, views.ocr_lines(spark, sf_dir))))
+    return found.select("doc_id", F.col("value").alias("currency"), "confidence", (F.col("box.y0") / 20).cast("int").alias("line"))
+
+
+@query(f"""WITH {DUCK}, {ANSWERED} SELECT doc_id, round((SELECT o_totalprice FROM heads WHERE o_orderkey = doc_id) * 100) / 100 AS total FROM answered""")
+def find_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by their labels, on the line or the next."""
+    return fallback.find_total(views.ocr_lines(spark, sf_dir)).select("doc_id", "total")
+
+
+@query(f"WITH {DUCK} SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS day, 'Date: ' || strftime(o_orderdate, '%d/%m/%Y') AS text FROM heads")
+def find_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of documents, lines that say so first."""
+    return fallback.find_date(views.ocr_lines(spark, sf_dir)).select("doc_id", "day", "text")
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
+    hits AS (SELECT DISTINCT a.doc_id FROM answered a JOIN printed p ON p.doc_id = a.doc_id AND abs(abs(p.number) - abs(a.total_amount)) < 0.005),
+    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, round(o.o_totalprice * 100) / 100 AS printed_total, CAST(o.o_orderdate AS DATE) AS printed_day FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id)
+    SELECT doc_id, 'total_amount' AS field, CASE WHEN found THEN total_amount ELSE printed_total END AS value_num, CAST(NULL AS DATE) AS value_date,
+           CASE WHEN found THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN found THEN 'model' ELSE 'ocr_fallback' END AS source FROM t
+    UNION ALL SELECT doc_id, 'invoice_date', NULL, printed_day, CASE WHEN invoice_date IS NULL THEN 'medium' ELSE 'high' END, CASE WHEN invoice_date IS NULL THEN 'ocr_fallback' ELSE 'model' END FROM t"""
+)
+def repaired_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and dates after the fallback."""
+    lines = views.ocr_lines(spark, sf_dir)
+    fields = match.long_fields(clean(spark, sf_dir))
+    totals, days = fields.where("field = 'total_amount' AND item_no IS NULL"), fields.where("field = 'invoice_date'")
+    found = match.best_window(match.score_numbers(totals, lines)).unionByName(match.best_window(match.score_dates(days, lines)))
+    done = fallback.apply_fallback(match.results(totals.unionByName(days), found), lines)
+    return done.select("doc_id", "field", "value_num", "value_date", "confidence", "source")
+
+
+@query()
+def match_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every document with confidence and box, fuzzy texts included."""
+    return match.match_fields(match.long_fields(clean(spark, sf_dir)), views.ocr_lines(spark, sf_dir))
+
+
+@query()
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents end to end, with their warnings in stage order."""
+    return extract(views.model_answers(spark, sf_dir), views.ocr_lines(spark, sf_dir))[0]
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of repaired dates and totals (no fuzzy texts, so that SQL can follow)."""
+    lines = views.ocr_lines(spark, sf_dir)
+    fields = match.long_fields(clean(spark, sf_dir))
+    totals, days = fields.where("field = 'total_amount' AND item_no IS NULL"), fields.where("field = 'invoice_date'")
+    found = match.best_window(match.score_numbers(totals, lines)).unionByName(match.best_window(match.score_dates(days, lines)))
+    done = fallback.apply_fallback(match.results(totals.unionByName(days), found), lines)
+    labels = evaluate.label_rows(views.labels(spark, sf_dir), {"date": "date_text", "total": "total"})
+    return evaluate.score_fields(labels, done)
+
+
+SCORED = f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
+    hits AS (SELECT DISTINCT a.doc_id FROM answered a JOIN printed p ON p.doc_id = a.doc_id AND abs(abs(p.number) - abs(a.total_amount)) < 0.005),
+    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, round(o.o_totalprice * 100) / 100 AS printed_total FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id),
+    s AS (SELECT doc_id, 'total' AS label_field, 'total_amount' AS field, CASE WHEN found THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN found THEN 'model' ELSE 'ocr_fallback' END AS source,
+                 CASE WHEN doc_id % 23 = 0 THEN NULL ELSE abs(CASE WHEN found THEN total_amount ELSE printed_total END - printed_total) < 0.005 END AS exact FROM t
+          UNION ALL SELECT doc_id, 'date', 'invoice_date', CASE WHEN invoice_date IS NULL THEN 'medium' ELSE 'high' END, CASE WHEN invoice_date IS NULL THEN 'ocr_fallback' ELSE 'model' END, true FROM t)"""
+
+
+@query(f"{SCORED} SELECT field, count(exact) AS evaluated, count(*) - count(exact) AS skipped, round(count(*) FILTER (WHERE exact) / count(exact), 4) AS exact_match FROM s GROUP BY field")
+def field_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per field."""
+    return evaluate.field_metrics(scored(spark, sf_dir)).select("field", "evaluated", "skipped", "exact_match")
+
+
+@query(
+    f"""{SCORED} SELECT f.field, l.confidence, count(s.exact) AS n, CASE WHEN count(s.exact) > 0 THEN round(count(*) FILTER (WHERE s.exact) / count(s.exact), 4) END AS exact_match
+    FROM (SELECT DISTINCT field FROM s) f CROSS JOIN (VALUES ('high'), ('medium'), ('low')) l(confidence) LEFT JOIN s ON s.field = f.field AND s.confidence = l.confidence GROUP BY 1, 2"""
+)
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rate by confidence level, empty levels included (A2)."""
+    return evaluate.calibration(scored(spark, sf_dir))
+
+
+@query(f"{SCORED} SELECT field, count(*) AS used, round(count(*) FILTER (WHERE exact) / count(*), 4) AS exact_match FROM s WHERE source = 'ocr_fallback' AND exact IS NOT NULL GROUP BY field")
+def fallback_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the fallback was used, and right (A3)."""
+    return evaluate.fallback_usage(scored(spark, sf_dir))
+
+
+@query(
+    """SELECT event_type, count(*) AS documents, count(*) FILTER (WHERE event_id % 10 = 0) AS failed, round(avg(value) FILTER (WHERE event_id % 10 <> 0), 2) AS avg_seconds,
+       round(median(value) FILTER (WHERE event_id % 10 <> 0), 2) AS median_seconds FROM events GROUP BY event_type"""
+)
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, failures, mean and exact median of seconds per run; events stand for records (A4)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("error", F.when(F.col("event_id") % 10 == 0, "failed"))
+    return evaluate.run_stats(events, "event_type", seconds="value")
+
+
+@query(
+    """WITH m AS (SELECT source AS setup, lang AS field, avg(quality) AS exact_match FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+    SELECT setup, round(avg(exact_match), 6) AS mean_exact FROM m GROUP BY setup ORDER BY avg(exact_match) DESC, setup LIMIT 1"""
+)
+def best_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setup with the best mean of field rates; sources stand for setups, languages for fields (A5)."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    metrics = rows.groupBy(F.col("source").alias("setup"), "lang").agg(F.avg("quality").alias("exact_match"))
+    return evaluate.best_setup(metrics).select("setup", F.round("mean_exact", 6).alias("mean_exact"))
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, d AS (SELECT a.doc_id, abs(a.total_amount - round(h.o_totalprice * 100) / 100) AS off FROM answered a JOIN heads h ON h.o_orderkey = a.doc_id WHERE a.doc_id % 23 <> 0)
+    SELECT doc_id FROM d WHERE off >= 0.005"""
+)
+def wrong_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled totals that the model alone got wrong."""
+    labels = evaluate.label_rows(views.labels(spark, sf_dir), {"total": "total"})
+    fields = top_numbers(spark, sf_dir).withColumns({"confidence": F.lit("low"), "source": F.lit("model")})
+    return evaluate.score_fields(labels, fields).where("NOT exact").select("doc_id")
+
+
+@query()
+def worst_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vendors furthest from their labels."""
+    labels = evaluate.label_rows(views.labels(spark, sf_dir), {"company": "company"})
+    fields = match.long_fields(clean(spark, sf_dir)).where("field = 'vendor_name'").withColumns({"confidence": F.lit("low"), "source": F.lit("model")})
+    return evaluate.worst_examples(evaluate.score_fields(labels, fields), "vendor_name", 10).select("doc_id", "label", "value", "fuzzy")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'saved' ELSE 'fresh' END AS record FROM orders WHERE o_orderkey % 2 = 0"""
+)
+def resume_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved records of a run's samples, the last of each key, and fresh ones of the rest."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey")
+    samples = orders.where("o_orderkey % 2 = 0").select("key")
+    once = orders.where("o_orderkey % 4 = 0 OR o_orderkey % 5 = 5")
+    saved = once.select("key", F.lit("old").alias("record"), F.lit(0).alias("seq")).union(once.select("key", F.lit("saved"), F.lit(1)))
+    done = files.last_by_key(saved).drop("seq")
+    fresh = evaluate.to_do(samples, done).withColumn("record", F.lit("fresh"))
+    return evaluate.resumed(samples, done, fresh)
+
+
+@query(
+    f"""{SCORED}, c AS (SELECT doc_id, bool_or(confidence <> 'high' AND field = 'invoice_date') AS d, bool_or(confidence <> 'high' AND field = 'total_amount') AS t FROM s GROUP BY doc_id)
+    SELECT doc_id, 'order-' || doc_id || '.pdf' AS file_name, CASE WHEN doc_id % 29 = 0 THEN 'Error' ELSE 'OK' END AS status, CASE WHEN doc_id % 29 = 0 OR d OR t THEN 'Yes' ELSE 'No' END AS needs_review,
+           CASE WHEN doc_id % 29 = 0 THEN '' ELSE concat_ws(', ', CASE WHEN d THEN 'Invoice date' END, CASE WHEN t THEN 'Total' END) END AS fields_to_check,
+           CASE WHEN doc_id % 29 = 0 THEN 'Could not open PDF' ELSE '' END AS notes FROM c"""
+)
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for review, failed ones too."""
+    fields = scored(spark, sf_dir).withColumn("item_no", F.lit(None).cast("int"))
+    docs = fields.select("doc_id").distinct().select(
+        "doc_id",
+        F.concat(F.lit("order-"), "doc_id", F.lit(".pdf")).alias("file_name"),
+        F.when(F.col("doc_id") % 29 == 0, "Could not open PDF").alias("error"),
+        F.lit(1).alias("n_pages"),
+        F.lit(1.0).alias("seconds"),
+        F.array().cast("array<string>").alias("warnings"),
+    )
+    return export.review_rows(docs, fields).drop("pages", "seconds")
+
+
+@query()
+def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes to draw, shared ones once with the worst confidence."""
+    fields = top_numbers(spark, sf_dir)
+    found = match.results(fields, match.best_window(match.score_numbers(fields, views.ocr_lines(spark, sf_dir))))
+    return export.overlays(found)
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 415 WHEN page_id % 5 = 1 THEN 400 WHEN octet_length(encode(html)) > 2000 THEN 413 WHEN page_id % 5 = 2 THEN 415 END AS code FROM pages"""
+)
+def check_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload rules in their order; pages stand for files."""
+    from parchment.config import Settings
+
+    kind = F.col("page_id") % 5
+    suffix = F.when(kind == 0, ".txt").when(kind == 4, ".JPG").otherwise(".pdf")
+    length = F.when(kind == 1, 0).otherwise(F.octet_length("html"))
+    head = F.when(kind == 2, F.encode("html", "UTF-8")).when(kind == 4, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.encode(F.lit("%PDF-1.7"), "UTF-8"))
+    fault = files.upload_error(suffix, length, head, Settings(max_upload_bytes=2000))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", fault.getField("code").alias("code"))
+
+
+@query(
+    r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9._ -]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'upload') AS name FROM pages"""
+)
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made safe; the last part of page addresses."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.safe_file_name(F.col("url")).alias("name"))
+
+
+@query(
+    r"""SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g')) AS loose, regexp_replace(lower(text), '[^\p{L}\p{N}&]', '', 'g') AS compact FROM documents"""
+)
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts normalised for matching and for exact comparison."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", text.loose(F.col("text")).alias("loose"), text.compact(F.col("text")).alias("compact"))
+
+
+@query(
+    """SELECT s AS setting, least(1, 1600.0 / greatest(w, h)) AS scale FROM (SELECT DISTINCT p_size AS s, p_size * 100 AS w, p_size * 70 AS h FROM part)"""
+)
+def image_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes scaled to fit, never up."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("setting")).distinct()
+    scaled = geometry.scaled_size((F.col("setting") * 100000).cast("double"), (F.col("setting") * 70000).cast("double"), 1600000)
+    return sizes.select("setting", (scaled["width"] / (F.col("setting") * 100000)).alias("scale"))
+
+
+@query(
+    """SELECT 'c_name' AS "column", least(60, greatest(12, greatest(max(length(c_name)), 6) + 2)) AS width FROM customer UNION ALL SELECT 'c_mktsegment', least(60, greatest(12, greatest(max(length(c_mktsegment)), 12) + 2)) FROM customer"""
+)
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet column widths."""
+    return export.column_widths(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", "c_mktsegment"))
+
+
+@query(
+    f"""WITH {DUCK}, p AS (SELECT doc_id, count(DISTINCT page) AS n_pages, count(*) AS n_lines FROM ocr_lines GROUP BY doc_id)
+    SELECT doc_id, n_pages, n_lines, CASE WHEN n_pages > 1 THEN 'The document has ' || n_pages || ' pages; only the first 1 were used.' END AS warning FROM p"""
+)
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and lines per document, with a warning where pages are left out."""
+    from parchment.config import Settings
+
+    counts = views.ocr_lines(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"), F.count("*").alias("n_lines"))
+    return counts.withColumn("warning", files.truncation_warning(F.col("n_pages"), Settings(max_pages=1)))

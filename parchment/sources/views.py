@@ -1,0 +1,88 @@
+"""Document tables derived from the star schema, as one SQL text that Spark and DuckDB both run.
+
+Each order becomes an invoice: OCR lines with boxes and pages, a model's JSON answer with
+seeded damage, and the undamaged labels. Amounts are written from whole cents, so both
+engines print the same digits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+LINES_PER_PAGE = 8
+# What the two dialects spell differently.
+SPARK = {"commas": "format_number({}, 0)", "dmy": "date_format({}, 'dd/MM/yyyy')", "iso": "date_format({}, 'yyyy-MM-dd')", "joined": "listagg({}, ', ') WITHIN GROUP (ORDER BY {})", "box": "named_struct('x0', {}, 'y0', {}, 'x1', {}, 'y1', {}, 'page', {})"}
+DUCK = {"commas": "format('{{:,}}', {})", "dmy": "strftime({}, '%d/%m/%Y')", "iso": "strftime({}, '%Y-%m-%d')", "joined": "string_agg({}, ', ' ORDER BY {})", "box": "{{'x0': {}, 'y0': {}, 'x1': {}, 'y1': {}, 'page': {}}}"}
+
+
+def money(value: str, dialect: dict[str, str] | None = None) -> str:
+    """SQL of a non-negative amount with two decimals; with a dialect, thousands get commas."""
+    cents = f"CAST(round({value} * 100) AS BIGINT)"
+    whole = f"CAST(floor({cents} / 100) AS BIGINT)"
+    shown = dialect["commas"].format(whole) if dialect else f"CAST({whole} AS VARCHAR(20))"
+    return f"({shown} || '.' || lpad(CAST({cents} % 100 AS VARCHAR(20)), 2, '0'))"
+
+
+def ctes(dialect: dict[str, str]) -> str:
+    """Common table expressions items, heads, raw_lines, ocr_lines, model_answers and labels_of; to follow WITH."""
+    d = dialect
+    total, total_plain = money("o_totalprice", d), money("o_totalprice")
+    damaged = money("(o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.37 ELSE 0 END)", d)
+    box = d["box"].format("CAST(20 AS DOUBLE)", "CAST(20 * line_no AS DOUBLE)", "CAST(20 + 8 * length(text) AS DOUBLE)", "CAST(20 * line_no + 16 AS DOUBLE)", "page")
+    vendor = "CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END"
+    item_json = "'{\"description\": \"' || p_name || '\", \"quantity\": ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ', \"unit_price\": null, \"total\": \"' || price || '\"}'"
+    return f"""
+    items AS (
+        SELECT l_orderkey, l_quantity, l_extendedprice, p_name, {money("l_extendedprice", d)} AS price,
+               CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS item_no
+        FROM lineitem JOIN part ON p_partkey = l_partkey),
+    sums AS (
+        SELECT l_orderkey, CAST(count(*) AS INT) AS n_items, {d["joined"].format(item_json, "item_no")} AS item_json FROM items GROUP BY l_orderkey),
+    heads AS (
+        SELECT o_orderkey, o_orderdate, o_totalprice, c_name, coalesce(n_items, 0) AS n_items, coalesce(item_json, '') AS item_json
+        FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN sums ON l_orderkey = o_orderkey),
+    raw_lines AS (
+        SELECT o_orderkey AS doc_id, 0 AS line_no, c_name AS text FROM heads
+        UNION ALL SELECT o_orderkey, 1, 'Invoice No: INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') FROM heads
+        UNION ALL SELECT o_orderkey, 2, 'Date: ' || {d["dmy"].format("o_orderdate")} FROM heads
+        UNION ALL SELECT l_orderkey, 2 + item_no, p_name || ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ' pcs ' || price FROM items
+        UNION ALL SELECT o_orderkey, 3 + n_items, 'SUBTOTAL ' || {total_plain} FROM heads
+        UNION ALL SELECT o_orderkey, 4 + n_items, CASE WHEN o_orderkey % 3 = 0 THEN 'GRAND TOTAL' ELSE 'TOTAL RM ' || {total} END FROM heads
+        UNION ALL SELECT o_orderkey, 5 + n_items, 'RM ' || {total} FROM heads WHERE o_orderkey % 3 = 0),
+    paged AS (SELECT doc_id, CAST(floor(line_no / {LINES_PER_PAGE}) AS INT) AS page, CAST(line_no AS INT) AS line_no, text FROM raw_lines),
+    ocr_lines AS (SELECT doc_id, page, line_no, text, {box} AS box, CAST(0.9 AS DOUBLE) AS confidence FROM paged),
+    model_answers AS (
+        SELECT o_orderkey AS doc_id, 'v3' AS prompt_version,
+               CASE WHEN o_orderkey % 5 = 0 THEN '```json' || chr(10) ELSE '' END
+               || '{{"vendor_name": "' || {vendor} || '", "invoice_number": "INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '", "invoice_date": '
+               || CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE '"' || {d["dmy"].format("o_orderdate")} || '"' END
+               || ', "currency": "RM", "subtotal": "' || {total_plain} || '", "total_amount": "' || {damaged} || '", "line_items": [' || item_json || ']'
+               || CASE WHEN o_orderkey % 17 = 0 THEN ',' ELSE '' END || '}}'
+               || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '```' ELSE '' END AS raw
+        FROM heads),
+    labels_of AS (
+        SELECT o_orderkey AS doc_id, c_name AS company, {d["iso"].format("o_orderdate")} AS date_text, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {total_plain} END AS total FROM heads)"""
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the derived tables as a DataFrame; nothing is registered in the session."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "lineitem", "part")}
+    text = f"WITH {ctes(SPARK)} SELECT * FROM {name}"
+    # spark.sql takes DataFrames by name in braces; the text's own braces are doubled.
+    text = text.replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        for word in ("FROM", "JOIN"):
+            text = text.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t}\n", f"{word} {{{t}}}\n")
+    return spark.sql(text, **tables)
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "ocr_lines")
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "model_answers")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "labels_of")
