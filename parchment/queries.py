@@ -45,6 +45,8 @@ ANSWERED = f"""
                round(o_totalprice * 100) / 100 AS subtotal, round((o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.37 ELSE 0 END) * 100) / 100 AS total_amount,
                CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END AS vendor_name, n_items
         FROM heads)"""
+# A label on the last line of a page has its amount on the next page, where it doesn't count.
+LABELLED = "NOT (doc_id % 3 = 0 AND (5 + n_items) % 8 = 0)"
 TOKENS = r"""
     tokens AS (
         SELECT doc_id, page, line_no, text, box, unnest(regexp_extract_all(text, '-?\d[\d.,]*')) AS token FROM ocr_lines),
@@ -154,7 +156,7 @@ def match_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("value").alias("currency"), "confidence", (F.col("box.y0") / 20).cast("int").alias("line"))
 
 
-@query(f"""WITH {DUCK}, {ANSWERED} SELECT doc_id, round((SELECT o_totalprice FROM heads WHERE o_orderkey = doc_id) * 100) / 100 AS total FROM answered""")
+@query(f"""WITH {DUCK}, {ANSWERED} SELECT doc_id, round((SELECT o_totalprice FROM heads WHERE o_orderkey = doc_id) * 100) / 100 AS total FROM answered WHERE {LABELLED}""")
 def find_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by their labels, on the line or the next."""
     return fallback.find_total(views.ocr_lines(spark, sf_dir)).select("doc_id", "total")
@@ -169,9 +171,9 @@ def find_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
     hits AS (SELECT DISTINCT a.doc_id FROM answered a JOIN printed p ON p.doc_id = a.doc_id AND abs(abs(p.number) - abs(a.total_amount)) < 0.005),
-    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, round(o.o_totalprice * 100) / 100 AS printed_total, CAST(o.o_orderdate AS DATE) AS printed_day FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id)
-    SELECT doc_id, 'total_amount' AS field, CASE WHEN found THEN total_amount ELSE printed_total END AS value_num, CAST(NULL AS DATE) AS value_date,
-           CASE WHEN found THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN found THEN 'model' ELSE 'ocr_fallback' END AS source FROM t
+    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, NOT (a.doc_id % 3 = 0 AND (5 + a.n_items) % 8 = 0) AS labelled, round(o.o_totalprice * 100) / 100 AS printed_total, CAST(o.o_orderdate AS DATE) AS printed_day FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id)
+    SELECT doc_id, 'total_amount' AS field, CASE WHEN found OR NOT labelled THEN total_amount ELSE printed_total END AS value_num, CAST(NULL AS DATE) AS value_date,
+           CASE WHEN found THEN 'high' WHEN labelled THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN found OR NOT labelled THEN 'model' ELSE 'ocr_fallback' END AS source FROM t
     UNION ALL SELECT doc_id, 'invoice_date', NULL, printed_day, CASE WHEN invoice_date IS NULL THEN 'medium' ELSE 'high' END, CASE WHEN invoice_date IS NULL THEN 'ocr_fallback' ELSE 'model' END FROM t"""
 )
 def repaired_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +211,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED = f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
     hits AS (SELECT DISTINCT a.doc_id FROM answered a JOIN printed p ON p.doc_id = a.doc_id AND abs(abs(p.number) - abs(a.total_amount)) < 0.005),
-    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, round(o.o_totalprice * 100) / 100 AS printed_total FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id),
-    s AS (SELECT doc_id, 'total' AS label_field, 'total_amount' AS field, CASE WHEN found THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN found THEN 'model' ELSE 'ocr_fallback' END AS source,
-                 CASE WHEN doc_id % 23 = 0 THEN NULL ELSE abs(CASE WHEN found THEN total_amount ELSE printed_total END - printed_total) < 0.005 END AS exact FROM t
+    t AS (SELECT a.*, h.doc_id IS NOT NULL AS found, NOT (a.doc_id % 3 = 0 AND (5 + a.n_items) % 8 = 0) AS labelled, round(o.o_totalprice * 100) / 100 AS printed_total FROM answered a JOIN heads o ON o.o_orderkey = a.doc_id LEFT JOIN hits h ON h.doc_id = a.doc_id),
+    s AS (SELECT doc_id, 'total' AS label_field, 'total_amount' AS field, CASE WHEN found THEN 'high' WHEN labelled THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN found OR NOT labelled THEN 'model' ELSE 'ocr_fallback' END AS source,
+                 CASE WHEN doc_id % 23 = 0 THEN NULL ELSE abs(CASE WHEN found OR NOT labelled THEN total_amount ELSE printed_total END - printed_total) < 0.005 END AS exact FROM t
           UNION ALL SELECT doc_id, 'date', 'invoice_date', CASE WHEN invoice_date IS NULL THEN 'medium' ELSE 'high' END, CASE WHEN invoice_date IS NULL THEN 'ocr_fallback' ELSE 'model' END, true FROM t)"""
 
 

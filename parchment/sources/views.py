@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LINES_PER_PAGE = 8
 # What the two dialects spell differently.
-SPARK = {"commas": "format_number({}, 0)", "dmy": "date_format({}, 'dd/MM/yyyy')", "iso": "date_format({}, 'yyyy-MM-dd')", "joined": "listagg({}, ', ') WITHIN GROUP (ORDER BY {})", "box": "named_struct('x0', {}, 'y0', {}, 'x1', {}, 'y1', {}, 'page', {})"}
-DUCK = {"commas": "format('{{:,}}', {})", "dmy": "strftime({}, '%d/%m/%Y')", "iso": "strftime({}, '%Y-%m-%d')", "joined": "string_agg({}, ', ' ORDER BY {})", "box": "{{'x0': {}, 'y0': {}, 'x1': {}, 'y1': {}, 'page': {}}}"}
+SPARK = {"each": "explode(array({}))", "line": "named_struct('line_no', CAST({} AS INT), 'text', {})", "commas": "format_number({}, 0)", "dmy": "date_format({}, 'dd/MM/yyyy')", "iso": "date_format({}, 'yyyy-MM-dd')", "joined": "listagg({}, ', ') WITHIN GROUP (ORDER BY {})", "box": "named_struct('x0', {}, 'y0', {}, 'x1', {}, 'y1', {}, 'page', {})"}
+DUCK = {"each": "unnest([{}])", "line": "{{'line_no': CAST({} AS INT), 'text': {}}}", "commas": "format('{{:,}}', {})", "dmy": "strftime({}, '%d/%m/%Y')", "iso": "strftime({}, '%Y-%m-%d')", "joined": "string_agg({}, ', ' ORDER BY {})", "box": "{{'x0': {}, 'y0': {}, 'x1': {}, 'y1': {}, 'page': {}}}"}
 
 
 def money(value: str, dialect: dict[str, str] | None = None) -> str:
@@ -31,24 +31,31 @@ def ctes(dialect: dict[str, str]) -> str:
     box = d["box"].format("CAST(20 AS DOUBLE)", "CAST(20 * line_no AS DOUBLE)", "CAST(20 + 8 * length(text) AS DOUBLE)", "CAST(20 * line_no + 16 AS DOUBLE)", "page")
     vendor = "CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END"
     item_json = "'{\"description\": \"' || p_name || '\", \"quantity\": ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ', \"unit_price\": null, \"total\": \"' || price || '\"}'"
+    head_lines = ", ".join(
+        d["line"].format(number, text)
+        for number, text in (
+            ("0", "c_name"),
+            ("1", "'Invoice No: INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0')"),
+            ("2", "'Date: ' || " + d["dmy"].format("o_orderdate")),
+            ("3 + n_items", f"'SUBTOTAL ' || {total_plain}"),
+            ("4 + n_items", f"CASE WHEN o_orderkey % 3 = 0 THEN 'GRAND TOTAL' ELSE 'TOTAL RM ' || {total} END"),
+            ("5 + n_items", f"CASE WHEN o_orderkey % 3 = 0 THEN 'RM ' || {total} END"),
+        )
+    )
     return f"""
     items AS (
         SELECT l_orderkey, l_quantity, l_extendedprice, p_name, {money("l_extendedprice", d)} AS price,
                CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS item_no
         FROM lineitem JOIN part ON p_partkey = l_partkey),
-    sums AS (
-        SELECT l_orderkey, CAST(count(*) AS INT) AS n_items, {d["joined"].format(item_json, "item_no")} AS item_json FROM items GROUP BY l_orderkey),
+    counts AS (SELECT l_orderkey, CAST(count(*) AS INT) AS n_items FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
+    sums AS (SELECT l_orderkey, {d["joined"].format(item_json, "item_no")} AS item_json FROM items GROUP BY l_orderkey),
     heads AS (
-        SELECT o_orderkey, o_orderdate, o_totalprice, c_name, coalesce(n_items, 0) AS n_items, coalesce(item_json, '') AS item_json
-        FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN sums ON l_orderkey = o_orderkey),
+        SELECT o_orderkey, o_orderdate, o_totalprice, c_name, coalesce(n_items, 0) AS n_items
+        FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN counts ON l_orderkey = o_orderkey),
+    head_lines AS (SELECT o_orderkey AS doc_id, {d["each"].format(head_lines)} AS entry FROM heads),
     raw_lines AS (
-        SELECT o_orderkey AS doc_id, 0 AS line_no, c_name AS text FROM heads
-        UNION ALL SELECT o_orderkey, 1, 'Invoice No: INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') FROM heads
-        UNION ALL SELECT o_orderkey, 2, 'Date: ' || {d["dmy"].format("o_orderdate")} FROM heads
-        UNION ALL SELECT l_orderkey, 2 + item_no, p_name || ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ' pcs ' || price FROM items
-        UNION ALL SELECT o_orderkey, 3 + n_items, 'SUBTOTAL ' || {total_plain} FROM heads
-        UNION ALL SELECT o_orderkey, 4 + n_items, CASE WHEN o_orderkey % 3 = 0 THEN 'GRAND TOTAL' ELSE 'TOTAL RM ' || {total} END FROM heads
-        UNION ALL SELECT o_orderkey, 5 + n_items, 'RM ' || {total} FROM heads WHERE o_orderkey % 3 = 0),
+        SELECT doc_id, entry.line_no AS line_no, entry.text AS text FROM head_lines WHERE entry.text IS NOT NULL
+        UNION ALL SELECT l_orderkey, 2 + item_no, p_name || ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ' pcs ' || price FROM items),
     paged AS (SELECT doc_id, CAST(floor(line_no / {LINES_PER_PAGE}) AS INT) AS page, CAST(line_no AS INT) AS line_no, text FROM raw_lines),
     ocr_lines AS (SELECT doc_id, page, line_no, text, {box} AS box, CAST(0.9 AS DOUBLE) AS confidence FROM paged),
     model_answers AS (
@@ -56,10 +63,10 @@ def ctes(dialect: dict[str, str]) -> str:
                CASE WHEN o_orderkey % 5 = 0 THEN '```json' || chr(10) ELSE '' END
                || '{{"vendor_name": "' || {vendor} || '", "invoice_number": "INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '", "invoice_date": '
                || CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE '"' || {d["dmy"].format("o_orderdate")} || '"' END
-               || ', "currency": "RM", "subtotal": "' || {total_plain} || '", "total_amount": "' || {damaged} || '", "line_items": [' || item_json || ']'
+               || ', "currency": "RM", "subtotal": "' || {total_plain} || '", "total_amount": "' || {damaged} || '", "line_items": [' || coalesce(item_json, '') || ']'
                || CASE WHEN o_orderkey % 17 = 0 THEN ',' ELSE '' END || '}}'
                || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '```' ELSE '' END AS raw
-        FROM heads),
+        FROM heads LEFT JOIN sums ON l_orderkey = o_orderkey),
     labels_of AS (
         SELECT o_orderkey AS doc_id, c_name AS company, {d["iso"].format("o_orderdate")} AS date_text, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {total_plain} END AS total FROM heads)"""
 
