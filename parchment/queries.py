@@ -31,7 +31,11 @@ def query(sql: str | None = None):
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_answers(views.model_answers(spark, sf_dir))
+    return clean_answers(views.model_answers(spark, sf_dir)).persist()
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ocr_lines(spark, sf_dir).persist()
 
 
 def top_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +182,7 @@ def find_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repaired_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and dates after the fallback."""
-    lines = views.ocr_lines(spark, sf_dir)
+    lines = lines_of(spark, sf_dir)
     fields = match.long_fields(clean(spark, sf_dir))
     totals, days = fields.where("field = 'total_amount' AND item_no IS NULL"), fields.where("field = 'invoice_date'")
     found = match.best_window(match.score_numbers(totals, lines)).unionByName(match.best_window(match.score_dates(days, lines)))
@@ -200,7 +204,7 @@ def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of repaired dates and totals (no fuzzy texts, so that SQL can follow)."""
-    lines = views.ocr_lines(spark, sf_dir)
+    lines = lines_of(spark, sf_dir)
     fields = match.long_fields(clean(spark, sf_dir))
     totals, days = fields.where("field = 'total_amount' AND item_no IS NULL"), fields.where("field = 'invoice_date'")
     found = match.best_window(match.score_numbers(totals, lines)).unionByName(match.best_window(match.score_dates(days, lines)))
