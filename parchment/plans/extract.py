@@ -10,6 +10,7 @@ from parchment.operators.fallback import apply_fallback
 from parchment.operators.match import long_fields, match_fields
 from parchment.operators.parse import clean_answers
 from parchment.sources.files import truncation_warning
+from parchment.sources.tables import written
 from parchment.types import FIELD_LABELS
 
 
@@ -19,7 +20,8 @@ def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS,
     documents: doc_id, error, n_pages, n_lines, warnings; fields: one row per field, repaired.
     A document without OCR lines keeps its values at low confidence, without a warning for them.
     """
-    invoices = clean_answers(answers, second)
+    invoices = written(clean_answers(answers, second), "invoices")
+    lines = written(lines.select("doc_id", "page", "line_no", "text", "box", "confidence"), "lines")
     good = invoices.where("error IS NULL")
     used = lines.where((F.col("page") < settings.max_pages) & (F.col("confidence") >= settings.min_ocr_confidence))
     fields = apply_fallback(match_fields(long_fields(good), used, settings), used, settings)

@@ -12,6 +12,7 @@ from parchment.operators import evaluate, export, fallback, match
 from parchment.operators.parse import clean_answers
 from parchment.plans.extract import extract
 from parchment.sources import files, views
+from parchment.sources.tables import written
 
 DUCK = views.ctes(views.DUCK)
 QUERIES: dict = {}
@@ -31,11 +32,11 @@ def query(sql: str | None = None):
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_answers(views.model_answers(spark, sf_dir)).persist()
+    return written(clean_answers(views.model_answers(spark, sf_dir)), "invoices")
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.ocr_lines(spark, sf_dir).persist()
+    return written(views.ocr_lines(spark, sf_dir), "lines")
 
 
 def top_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,7 @@ def repaired_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def match_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of every document with confidence and box, fuzzy texts included."""
-    return match.match_fields(match.long_fields(clean(spark, sf_dir)), views.ocr_lines(spark, sf_dir))
+    return match.match_fields(match.long_fields(clean(spark, sf_dir)), lines_of(spark, sf_dir))
 
 
 @query()
@@ -210,7 +211,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.best_window(match.score_numbers(totals, lines)).unionByName(match.best_window(match.score_dates(days, lines)))
     done = fallback.apply_fallback(match.results(totals.unionByName(days), found), lines)
     labels = evaluate.label_rows(views.labels(spark, sf_dir), {"date": "date_text", "total": "total"})
-    return evaluate.score_fields(labels, done)
+    return evaluate.score_fields(labels, written(done, "repaired"))
 
 
 SCORED = f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
