@@ -345,8 +345,8 @@ class NgramJoin:
         return rows.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest id."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each component, that with the smallest id: five words, a similarity of 0.8 or more."""
     found = NgramJoin(docs, id_col, text_col, width, percent).components()
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return keep_only(docs, kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col)

@@ -66,7 +66,8 @@ def plain_components(texts, width=4, percent=85):
     return {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
-def test_jaccard_join_is_brute_force(spark):
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_jaccard_join_is_brute_force(spark, width, percent):
     rng = random.Random(4)
     texts = [None, "", "  ", "one", "ONE", "one two", "one two three", "One Two\nThree"]
     passage = [f"p{i}" for i in range(30)]
@@ -77,8 +78,12 @@ def test_jaccard_join_is_brute_force(spark):
             for _ in range(rng.randrange(1 + len(base) // 40)):
                 copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(9))
             texts.append(" ".join(copy))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in NgramJoin(docs_of(spark, texts)).components().collect()}
-    assert got == plain_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in NgramJoin(docs_of(spark, texts), width=width, percent=percent).components().collect()}
+    expected = plain_components(texts, width, percent)
+    assert got == expected
+    if (width, percent) == (5, 80):
+        kept = drop_near_copies(docs_of(spark, texts))
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in expected.values()})
 
 
 def test_segments_never_miss_a_pair():
