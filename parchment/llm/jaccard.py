@@ -99,6 +99,16 @@ class Bands:
         """The band of each size, and that of its largest partner."""
         return np.searchsorted(self.tops, sizes), np.searchsorted(self.tops, sizes * 100 // self.percent)
 
+    def need(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many equal segments with members each set has at least with any linked set that isn't larger."""
+        sizes = np.diff(at)
+        band = self.of(sizes)[0]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        segment = ((code >> np.uint64(32)) * self.segments[band][row].astype(np.uint64)) >> np.uint64(32)
+        new = np.ones(len(code), bool)
+        new[1:] = (segment[1:] != segment[:-1]) | (row[1:] != row[:-1])
+        return np.maximum(1, np.bincount(row[new], minlength=len(sizes)) - self.allowed[band])
+
     def keys(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segment keys of all rows, and the row of each."""
         sizes = np.diff(at)
@@ -155,7 +165,7 @@ class NgramJoin:
 
     `width` words make a shingle; two documents link when 100 * common >= percent * union.
 
-    1. One pass gives (doc_id, node, n, sketch), a node being a distinct set, so that copies
+    1. One pass gives (doc_id, node, n, sketch, need), a node being a distinct set, so that copies
        count once from here on. A second gives the nodes' segment keys. Keys that repeat within
        a block of a task stay there with the block's first node as a star; only one row for
        a key and block is shuffled, so that no key, however common, meets in a task whole.
@@ -165,7 +175,8 @@ class NgramJoin:
        takes two verifications per node.
     3. What is left are pairs with an equal segment across components. In every key with
        several components, nodes outside the first node's component are joined with all others;
-       sketches and sizes decide within the join, and what passes is verified.
+       sketches and sizes decide within the join, the number of segments they share (see
+       `Bands.need`) after it, and what passes is verified.
     4. Verification recomputes whole sets, of nodes that a filter of a fixed 8 MB lets through.
 
     Every linked pair has an equal segment with members (see `Bands`), so it is verified or
@@ -180,17 +191,17 @@ class NgramJoin:
         self.width, self.percent, self.bands = width, percent, Bands(percent)
 
     def nodes(self) -> DataFrame:
-        width = self.width
+        width, bands = self.width, self.bands
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 code, at = shingle_sets(*text_bytes(batch.column("text")), width)
                 sizes = np.diff(at)
                 words = pa.FixedSizeListArray.from_arrays(pa.array(sketches(code, at).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_ids(code, at), mask=sizes == 0), pa.array(sizes, pa.int64()), words], ["doc_id", "node", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_ids(code, at), mask=sizes == 0), pa.array(sizes, pa.int64()), words, pa.array(bands.need(code, at), pa.int64())], ["doc_id", "node", "n", "sketch", "need"])
 
         kind = self.rows.schema["doc_id"].dataType.simpleString()
-        return self.rows.mapInArrow(run, f"doc_id {kind}, node long, n long, sketch array<long>")
+        return self.rows.mapInArrow(run, f"doc_id {kind}, node long, n long, sketch array<long>, need long")
 
     def keys(self) -> DataFrame:
         """(at, node, key, via): a node at a key; or, with via, a node that met `via` at `key` in its own block."""
@@ -311,7 +322,7 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """One row per row of `docs`: doc_id, n_shingles, component_id, its smallest doc_id."""
         rows = shared_table(self.nodes(), "nodes")
-        info = shared_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
+        info = shared_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("need").alias("need")), "info")
         facts = info.select("node", "n", "sketch")
         met = shared_table(self.meetings(), "meetings")
         members = met.select("key", "node").union(met.select("key", F.col("first").alias("node"))).distinct()
@@ -327,14 +338,17 @@ class NgramJoin:
         across = firsts.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         across = across.join(named.toDF("first", "first_comp"), "first", "left").where(F.col("comp") != F.coalesce("first_comp", "first")).select("node", "first")
         mixed = met.join(across, ["node", "first"], "left_semi").select("key").distinct()
-        members = members.join(mixed, "key", "left_semi").join(named, "node", "left").join(facts, "node")
-        members = shared_table(members.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch"), "members")
+        members = members.join(mixed, "key", "left_semi").join(named, "node", "left").join(info.select("node", "n", "sketch", "need"), "node")
+        members = shared_table(members.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch", "need"), "members")
         main = members.groupBy("key").agg(F.min_by("comp", "node").alias("main"))
-        a = members.join(main, "key").where("comp != main").toDF("key", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "main")))
-        b = members.toDF("key", *(f"{x}_b" for x in ("node", "comp", "n", "sketch")))
+        a = members.join(main, "key").where("comp != main").toDF("key", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "need", "main")))
+        b = members.toDF("key", *(f"{x}_b" for x in ("node", "comp", "n", "sketch", "need")))
         once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
         left = a.join(b, (a["key"] == b["key"]) & once & self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
-        left = shared_table(left.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+        need = F.greatest(F.when(F.col("n_a") >= F.col("n_b"), F.col("need_a")), F.when(F.col("n_b") >= F.col("n_a"), F.col("need_b")))
+        left = left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"))
+        left = left.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need")
+        left = shared_table(left.select("a", "b"), "pairs")
         more = shared_table(self.verified(left), "links")
         if not more.isEmpty():
             comps = components(links.union(more))
