@@ -228,17 +228,28 @@ def test_equal_prints_find_what_brute_force_finds():
         xs.append(x.astype(np.uint32)), ys.append(y.astype(np.uint32))
     ys = [ys[-1], *ys[:-1]]  # no pair of one id
     want = plain_matches(xs, ys)
-    got = {m[:3]: m[3:] for m in matches(*ends(xs), *ends(ys), 16, 0.2)}
+    got = {m[:3]: m[3:6] for m in matches(*ends(xs), *ends(ys), 16, 0.2, 17)}
     assert len(want) >= 240 and set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
     assert len(got) >= 0.95 * len(want) and all(want[k][0] == 0 for k in set(want) - set(got))
 
 
 def test_constant_audio_gives_every_offset():
     x = [np.repeat(np.array([0, 0xFFFFFFFF], np.uint32), [20, n]) for n in (30, 40)]
-    got = {m[:3]: m[3:] for m in matches(*ends(x), *ends(x), 16, 0.2)}
+    got = {m[:3]: m[3:6] for m in matches(*ends(x), *ends(x), 16, 0.2, 17)}
     assert got == plain_matches(x, x)
 
 
+def test_stretches_and_second_offsets_match():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 1 << 32, (2, 200), dtype=np.uint32)
+    y[40:70] = x[100:130]  # a passage between unrelated parts
+    y[150:156] = x[100:106]  # a repeat that wins no stretch
+    y[170:190] = x[10:30]  # and another passage at its own offset
+    got = {m[2]: m for m in matches(np.array([1]), x, np.array([0, 200]), np.array([2]), y, np.array([0, 200]), 16, 0.2, 2)}
+    assert set(got) == {-60, 160}
+    assert got[-60][5] > 0.2 and got[-60][6] <= 100 and got[-60][6] + got[-60][7] >= 130 and got[-60][8] <= 0.2 and got[160][3] >= 20
+
+
 def test_short_recordings_align(spark):
     rng = random.Random(9)
     song = [f"w{rng.randrange(50)}" for _ in range(25)]
