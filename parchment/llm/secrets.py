@@ -28,6 +28,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+PART = re.compile(UUID.pattern + "|[A-Za-z0-9+]+", re.IGNORECASE)
 NUMBER = re.compile(r"[-+0-9/_=]+")
 
 
@@ -40,13 +41,35 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
 
 def is_random(word: str, vocabulary: str, max_chars_per_token: float) -> bool:
     """Low characters per token, unless the string is a digest, an identifier or a plain number."""
-    if DIGEST.fullmatch(word) or UUID.fullmatch(word) or NUMBER.fullmatch(word) or NAME.fullmatch(word):
+    if DIGEST.fullmatch(word) or UUID.fullmatch(word) or NUMBER.fullmatch(word) or (NAME.fullmatch(word) and not word.isalpha()):
         return False
-    if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
+    if not re.search("[A-Za-z]", word):
         return False
     return len(word) < max_chars_per_token * len(encoder(vocabulary).encode_ordinary(word))
 
 
+def hidden(word: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[int, int]]:
+    """Spans of random strings that words glued by '/', '=', '_' or '-' hide: neighbouring parts of few characters a token.
+
+    Known digests, UUIDs and readable parts end a stretch, so that they neither hide nor join a neighbour.
+    """
+    spans, start, end = [], -1, -1
+    for m in PART.finditer(word):
+        part = m[0]
+        known = DIGEST.fullmatch(part) or UUID.fullmatch(part)
+        low = not known and len(part) < max_chars_per_token * len(encoder(vocabulary).encode_ordinary(part))
+        if low and start < 0:
+            start = m.start()
+        if low:
+            end = m.end()
+        if start >= 0 and not low:
+            spans.append((start, end))
+            start = -1
+    if start >= 0:
+        spans.append((start, end))
+    return [(a, b) for a, b in spans if b - a >= 20 and is_random(word[a:b], vocabulary, max_chars_per_token)]
+
+
 def find(text: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span, sorted; code points, end exclusive."""
     spans = []
@@ -63,6 +86,8 @@ def find(text: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[i
             for m in CANDIDATE.finditer(run[0]):
                 if is_random(m[0], vocabulary, max_chars_per_token):
                     spans.append((a + m.start(), 3, a + m.end()))
+                else:
+                    spans += [(a + m.start() + i, 3, a + m.start() + j) for i, j in hidden(m[0], vocabulary, max_chars_per_token)]
     return sorted(spans)
 
 
@@ -80,8 +105,8 @@ def scan_secrets(
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Base kinds are patterns. Spans of kind `random` are strings of 20 or more base64 letters,
-    with digits and letters both, that take so many tokens that a token covers fewer than
-    `max_chars_per_token` characters; known digests (hexadecimal of a digest's length), UUIDs,
+    with a letter, that take so many tokens that a token covers fewer than `max_chars_per_token`
+    characters, or such stretches of the parts that '/', '=', '_' and '-' make of longer strings; known digests (hexadecimal of a digest's length), UUIDs,
     plain numbers and identifiers (words and short numbers joined by marks) are left out.
 
     Null and empty texts have no spans (spans '', base_sha256 of the empty string). Rows are

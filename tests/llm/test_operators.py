@@ -156,6 +156,17 @@ def test_secrets(spark):
     assert clean[2]["text"] == "x [SECRET] y" and clean[2]["n_chars"] == 12 and clean[3]["text"] == texts[3] and clean[4]["text"] is None
 
 
+def test_secrets_behind_words(spark):
+    rng, base62 = random.Random(12), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = ["session_cookie_identifier=", "/users/profile/settings/download/", "/static/assets/images/session/", "client_authorization="]
+    keys = ["".join(rng.choices(base62[: 52 if i % 10 == 9 else 62], k=24)) for i in range(200)]
+    plain = ["/users/profile/settings/download/550e8400-e29b-41d4-a716-446655440000", "/static/assets/04dbebab91ab85687d33eeaaf9ac699e1188f962/images", "/archive/2024/01/05/annual-report-for-shareholders"]
+    texts = [before[i % 4] + key + ("/details" if i % 3 == 0 else "") for i, key in enumerate(keys)] + plain
+    got = by_id(redact_secrets(docs_of(spark, texts)))
+    assert sum(keys[i] in got[i]["text"] for i in range(200)) <= 2
+    assert [got[200 + i]["text"] for i in (0, 2)] == [plain[0], plain[2]]
+
+
 def test_shards_keep_the_mixture(spark):
     rows = interleaved_shards(docs_of(spark, [f"t{i}" for i in range(999)], [["a", "b", None][min(i % 10 // 5 + i % 7 // 6, 2)] for i in range(999)])).collect()
     counts, mixture = {}, {}
