@@ -70,3 +70,14 @@ def test_workbook(tmp_path):
     export.write_xlsx(path, {"Invoices": [("File", "Total"), ("a & b", 1.5)], "Legend": export.LEGEND}, {("Invoices", 1, 1): "FFF2CC"})
     with zipfile.ZipFile(path) as z:
         assert "a &amp; b" in z.read("xl/worksheets/sheet1.xml").decode() and "FFF2CC" in z.read("xl/styles.xml").decode()
+
+
+def test_resumed_run_leaves_saved_records_of_no_sample(spark, tmp_path, monkeypatch):
+    from parchment import queries
+
+    kept, resumed = {}, queries.evaluate.resumed
+    monkeypatch.setattr(queries.evaluate, "resumed", lambda samples, done, fresh: kept.update(done=done, samples=samples) or resumed(samples, done, fresh))
+    spark.range(1, 61).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.resume_run(spark, str(tmp_path)).collect()
+    assert sorted((int(r["key"]), r["record"]) for r in got) == [(k, "fresh" if k % 4 else "saved") for k in range(2, 61, 2)]
+    assert kept["done"].join(kept["samples"], "key", "left_anti").count() == 6
