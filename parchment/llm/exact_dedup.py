@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame functions only."""
+"""Exact dedup by a tree of grouped digest runs, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -18,11 +18,12 @@ def normalised(text) -> F.Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Each partition makes a run of (digest, smallest id, count), sorted and without repeats.
-    Runs then meet in rounds of `fan_in`: run r joins run r // fan_in, until one is left.
+    Each partition makes a run of (digest, smallest id, count) without repeats. Runs then meet in
+    rounds of `fan_in`: run r joins run r // fan_in, until one is left. Each level is a grouped
+    aggregation; nothing is sorted or merged in order. The result goes back by run and digest.
     At every level equality is verified on the SHA-256, a second hash of another family and the
     length, and only the smallest id and the count go on; so a group of any size costs one
-    small row per run, and no task ever holds a group.
+    small row per run, and no task holds more of a group than its run does.
 
     Null and empty texts are one group, equal to each other. Rows that share an id share its
     fate: all are kept or none. A group whose ids are all null keeps null. Other columns of
@@ -35,24 +36,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.unhex(F.sha2(text, 256)).alias("digest"),
             F.xxhash64(text).alias("proof"),
             F.octet_length(text).alias("n_bytes"),
+            (F.spark_partition_id() % runs).alias("run"),
         ),
         "digests",
     )
-    level = (
-        rows.withColumn("run", F.spark_partition_id() % runs)
-        .groupBy("run", *KEY)
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    )
+    first = level = rows.groupBy("run", *KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     width = runs
     while width > 1:
         width = -(-width // fan_in)
         level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int") if width > 1 else F.lit(0))
-            .sortWithinPartitions("digest")
             .groupBy("run", *KEY)
             .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         )
-    return rows.join(level.drop("run"), KEY).select(
+    back = first.select("run", *KEY).join(level.drop("run"), KEY)
+    return rows.join(back, ["run", *KEY]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -267,3 +267,11 @@ def test_short_recordings_align(spark):
     texts = [(20, " ".join(song)), (21, " ".join(["x1", *song[1:]])), (22, " ".join(song[:24]))]
     got = align(sung(spark.createDataFrame(texts, "rec_id long, text string"), "rec_id", "text")).collect()
     assert {(r["class_id"], r["place"], r["overlap"]) for r in got if r["kind"] == "match"} == {(21, 0, 17), (22, 0, 16)}
+
+
+def test_copies_of_a_text_come_back_by_run(spark):
+    df = exact_dedup(docs_of(spark, ["same"] * 400 + ["other"]).repartition(8))
+    got = by_id(df)
+    assert len(got) == 401 and all(got[i]["keep_id"] == 0 and got[i]["group_size"] == 400 for i in range(400)) and got[400]["kept"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*run#", plan)
