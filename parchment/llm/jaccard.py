@@ -18,6 +18,8 @@ from parchment.llm.components import components
 SKETCH_WORDS = 8
 FILTER_WORDS = 1 << 20
 BLOCK_KEYS = 1 << 20
+CROWD = 8  # nodes at a key from which on it has hubs
+PAIRS_PER_PART = 256
 CODES = byte_codes(29)
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -99,16 +101,6 @@ class Bands:
         """The band of each size, and that of its largest partner."""
         return np.searchsorted(self.tops, sizes), np.searchsorted(self.tops, sizes * 100 // self.percent)
 
-    def need(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How many equal segments with members each set has at least with any linked set that isn't larger."""
-        sizes = np.diff(at)
-        band = self.of(sizes)[0]
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        segment = ((code >> np.uint64(32)) * self.segments[band][row].astype(np.uint64)) >> np.uint64(32)
-        new = np.ones(len(code), bool)
-        new[1:] = (segment[1:] != segment[:-1]) | (row[1:] != row[:-1])
-        return np.maximum(1, np.bincount(row[new], minlength=len(sizes)) - self.allowed[band])
-
     def keys(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segment keys of all rows, and the row of each."""
         sizes = np.diff(at)
@@ -160,24 +152,49 @@ def sketches(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(-1, bits), axis=1, bitorder="little").view(np.int64)
 
 
+def wide_sketches(code: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity sketches of four to eight bits per member, of 2**k >= SKETCH_WORDS * 64 bits, so that no size fills them."""
+    sizes = np.diff(at)
+    bits = 1 << np.maximum(int(np.log2(SKETCH_WORDS * 64)), np.ceil(np.log2(np.maximum(sizes, 1) * 4)).astype(np.int64))
+    till = np.concatenate([[0], np.cumsum(bits)])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    place = till[rows] + (code & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.zeros(till[-1], np.uint8)
+    np.bitwise_xor.at(odd, place, np.uint8(1))
+    packed = np.packbits(odd, bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(till[:-1].tolist(), till[1:].tolist(), strict=True)]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two wide sketches, the longer one folded to the shorter: at most the sets' difference."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class NgramJoin:
     """Links between the word-shingle sets of `docs` that reach a Jaccard similarity, as components.
 
     `width` words make a shingle; two documents link when 100 * common >= percent * union.
 
-    1. One pass gives (doc_id, node, n, sketch, need), a node being a distinct set, so that copies
+    1. One pass gives (doc_id, node, n, sketch, wide), a node being a distinct set, so that copies
        count once from here on. A second gives the nodes' segment keys. Keys that repeat within
        a block of a task stay there with the block's first node as a star; only one row for
        a key and block is shuffled, so that no key, however common, meets in a task whole.
-    2. Of each node's partners (the first and the previous node of its keys) the one with the most
-       common segments is verified, unless the sketches rule it out; so is, at crowded keys, the
-       node that shares most such keys. These links give components; a cluster of any size
-       takes two verifications per node.
-    3. What is left are pairs with an equal segment across components. In every key with
-       several components, nodes outside the first node's component are joined with all others;
-       sketches and sizes decide within the join, the number of segments they share (see
-       `Bands.need`) after it, and what passes is verified.
+    2. Of each node's partners (the first and the previous node of its keys) that size and sketch
+       allow, the one with the most common segments is verified; so is, at crowded keys, the
+       allowed hub with the most common ones. A hub is the node of a key and size class that
+       stands at most crowded keys. These links give components; a cluster of any size takes
+       two verifications per node.
+    3. What is left are pairs with an equal segment across components. Keys with several
+       components go into groups by their hub, or by their first node where there is no crowd,
+       so that two nodes with many common keys meet once. In each group, nodes outside its
+       largest component are joined with all others. Sizes and sketches decide within the join,
+       wide sketches after it, and what passes is verified. Only pairs near the limit are ever
+       rows; Spark splits a large group's join by its two sides (adaptive skew join).
     4. Verification recomputes whole sets, of nodes that a filter of a fixed 8 MB lets through.
+       A node with many partners, such as a hub, is dealt out with a part of them each.
 
     Every linked pair has an equal segment with members (see `Bands`), so it is verified or
     within a component already: components are exact, but for collisions of 64-bit hashes.
@@ -191,17 +208,18 @@ class NgramJoin:
         self.width, self.percent, self.bands = width, percent, Bands(percent)
 
     def nodes(self) -> DataFrame:
-        width, bands = self.width, self.bands
+        width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 code, at = shingle_sets(*text_bytes(batch.column("text")), width)
                 sizes = np.diff(at)
                 words = pa.FixedSizeListArray.from_arrays(pa.array(sketches(code, at).ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_ids(code, at), mask=sizes == 0), pa.array(sizes, pa.int64()), words, pa.array(bands.need(code, at), pa.int64())], ["doc_id", "node", "n", "sketch", "need"])
+                columns = [batch.column("doc_id"), pa.array(set_ids(code, at), mask=sizes == 0), pa.array(sizes, pa.int64()), words, pa.array(wide_sketches(code, at), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "sketch", "wide"])
 
         kind = self.rows.schema["doc_id"].dataType.simpleString()
-        return self.rows.mapInArrow(run, f"doc_id {kind}, node long, n long, sketch array<long>, need long")
+        return self.rows.mapInArrow(run, f"doc_id {kind}, node long, n long, sketch array<long>, wide binary")
 
     def keys(self) -> DataFrame:
         """(at, node, key, via): a node at a key; or, with via, a node that met `via` at `key` in its own block."""
@@ -287,11 +305,20 @@ class NgramJoin:
         found = self.rows.select("text").mapInArrow(run, "node long, members binary")
         return found.groupBy("node").agg(F.first("members").alias("members"))
 
+    def with_sets(self, pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+        """`pairs` with the members of `end`; a node with many pairs gives its set once for each PAIRS_PER_PART of them."""
+        parts = pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS_PER_PART).cast("int").alias("parts"))
+        many = parts.where("parts > 1")
+        dealt = sets.toDF(end, f"members_{end}").join(many, end, "left")
+        dealt = dealt.select(end, f"members_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        asked = pairs.join(many, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return asked.join(dealt, [end, "part"]).drop("part")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
         percent = self.percent
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        both = pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
+        both = self.with_sets(self.with_sets(pairs, sets, "a"), sets, "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -304,52 +331,81 @@ class NgramJoin:
 
         return both.mapInArrow(run, "a long, b long")
 
-    def closest(self, pairs: DataFrame) -> DataFrame:
-        """Of each a the b that it meets most often."""
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("common")).groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+    def narrowed(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose wide sketches allow a link."""
+        percent = self.percent
+        facts = info.select("node", "n", "wide")
+        both = pairs.select("a", "b").join(facts.toDF("a", "n_a", "wide_a"), "a").join(facts.toDF("b", "n_b", "wide_b"), "b")
 
-    def hub_pairs(self, met: DataFrame, members: DataFrame, crowd: int = 8) -> DataFrame:
-        """(a, b): members of crowded keys with their key's hub, the member that stands at most crowded keys.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                far = np.array([apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("wide_a"), batch.column("wide_b"), strict=True)], np.int64)
+                keep = pa.array(far * (100 + percent) <= total * (100 - percent))
+                yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("a", "b")], ["a", "b"])
 
-        Near copies of one text differ from it less than from each other, and it shares most keys.
+        return both.mapInArrow(run, "a long, b long")
+
+    def closest(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """Of each a the b that it meets most often, of those that size and sketch allow."""
+        often = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
+        often = often.join(facts.toDF("a", "n_a", "sketch_a"), "a").join(facts.toDF("b", "n_b", "sketch_b"), "b")
+        allowed = often.where(self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
+        return allowed.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+
+    def crowds(self, met: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+        """(key, node, size, fame) of crowded keys: the node's size class and at how many such keys it stands."""
+        crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("key")
+        found = shared_table(members.join(crowded, "key", "left_semi"), "crowds")
+        fame = found.groupBy("node").agg(F.count("*").alias("fame")).join(facts, "node")
+        size = F.floor(F.log("n") / float(np.log(100 / self.percent))).cast("int")
+        return found.join(fame.select("node", size.alias("size"), "fame"), "node")
+
+    def hub_pairs(self, crowds: DataFrame) -> DataFrame:
+        """(a, b): members of crowded keys with the key's hubs of their own and the neighbouring size classes.
+
+        A hub is the member of a class that stands at most crowded keys: near copies of one text
+        differ from it less than from each other, and it shares most keys.
         """
-        crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= crowd).select("key")
-        crowds = shared_table(members.join(crowded, "key", "left_semi"), "crowds")
-        fame = crowds.groupBy("node").agg(F.count("*").alias("fame"))
-        hubs = crowds.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("hub"))
-        return crowds.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).where("a != b")
+        hubs = crowds.groupBy("key", "size").agg(F.max(F.struct("fame", "node")).alias("hub"))
+        hubs = hubs.select("key", F.col("hub.node").alias("b"), F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("size"))
+        return crowds.join(hubs, ["key", "size"]).select(F.col("node").alias("a"), "b").where("a != b")
+
+    def groups(self, met: DataFrame, crowds: DataFrame, named: DataFrame) -> DataFrame:
+        """(key, grp) of keys whose nodes are in several components: the crowd's hub, or the first node."""
+        hubs = crowds.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("hub"))
+        firsts = met.groupBy("node", "first").agg(F.count("*").alias("keys"))
+        across = firsts.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        across = across.join(named.toDF("first", "first_comp"), "first", "left").where(F.col("comp") != F.coalesce("first_comp", "first")).select("node", "first")
+        mixed = met.join(across, ["node", "first"], "left_semi").groupBy("key").agg(F.min("first").alias("first"))
+        return mixed.join(hubs, "key", "left").select("key", F.coalesce("hub.node", "first").alias("grp"))
+
+    def across(self, members: DataFrame, groups: DataFrame, named: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components with a common key, that size and sketch allow."""
+        held = members.join(groups, "key").select("grp", "node").distinct().join(named, "node", "left").join(facts, "node")
+        held = shared_table(held.select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch"), "members")
+        main = held.groupBy("grp", "comp").agg(F.count("*").alias("held")).groupBy("grp").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
+        a = held.join(main, "grp").where("comp != main").toDF("grp", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "main")))
+        b = held.toDF("grp", *(f"{x}_b" for x in ("node", "comp", "n", "sketch")))
+        once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
+        met = a.join(b, (a["grp"] == b["grp"]) & once & self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
+        return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """One row per row of `docs`: doc_id, n_shingles, component_id, its smallest doc_id."""
         rows = shared_table(self.nodes(), "nodes")
-        info = shared_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("need").alias("need")), "info")
+        info = shared_table(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(x).alias(x) for x in ("n", "sketch", "wide"))), "info")
         facts = info.select("node", "n", "sketch")
         met = shared_table(self.meetings(), "meetings")
         members = met.select("key", "node").union(met.select("key", F.col("first").alias("node"))).distinct()
+        crowds = shared_table(self.crowds(met, members, facts), "crowds")
         pairs = met.select("node", "first").union(met.where("previous != first").select("node", "previous")).toDF("a", "b")
-        best = self.closest(pairs).union(self.closest(self.hub_pairs(met, members))).distinct()
-        best = best.join(facts.toDF("a", "n_a", "sketch_a"), "a").join(facts.toDF("b", "n_b", "sketch_b"), "b")
-        best = shared_table(best.where(self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "pairs")
-        links = shared_table(self.verified(best), "links")
+        best = self.closest(pairs, facts).union(self.closest(self.hub_pairs(crowds), facts)).distinct()
+        links = shared_table(self.verified(shared_table(self.narrowed(best, info), "pairs")), "links")
         comps = components(links)
 
-        firsts = met.groupBy("node", "first").agg(F.count("*").alias("keys"))
-        named = comps.select(F.col("node"), "comp")
-        across = firsts.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        across = across.join(named.toDF("first", "first_comp"), "first", "left").where(F.col("comp") != F.coalesce("first_comp", "first")).select("node", "first")
-        mixed = met.join(across, ["node", "first"], "left_semi").select("key").distinct()
-        members = members.join(mixed, "key", "left_semi").join(named, "node", "left").join(info.select("node", "n", "sketch", "need"), "node")
-        members = shared_table(members.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch", "need"), "members")
-        main = members.groupBy("key").agg(F.min_by("comp", "node").alias("main"))
-        a = members.join(main, "key").where("comp != main").toDF("key", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "need", "main")))
-        b = members.toDF("key", *(f"{x}_b" for x in ("node", "comp", "n", "sketch", "need")))
-        once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
-        left = a.join(b, (a["key"] == b["key"]) & once & self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
-        need = F.greatest(F.when(F.col("n_a") >= F.col("n_b"), F.col("need_a")), F.when(F.col("n_b") >= F.col("n_a"), F.col("need_b")))
-        left = left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"))
-        left = left.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need")
-        left = shared_table(left.select("a", "b"), "pairs")
-        more = shared_table(self.verified(left), "links")
+        left = self.across(members, self.groups(met, crowds, comps), comps, facts)
+        more = shared_table(self.verified(shared_table(self.narrowed(left, info), "pairs")), "links")
         if not more.isEmpty():
             comps = components(links.union(more))
 
