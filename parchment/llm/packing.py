@@ -14,6 +14,7 @@ from parchment.llm.common import slices, text_bytes
 from parchment.llm.words import word_bpe
 
 BATCH_BYTES = 32 << 20
+LOT = 512  # pieces that come together, the longest first; fewer than the open bins, so that none of these closes unfilled for want of short pieces
 
 
 class BestFit:
@@ -63,10 +64,10 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids with `keep_ids`).
 
     A document is its ids and `end_id`; only documents longer than `capacity` are cut. Each
-    partition packs its own rows as they come, so nothing is shuffled and a lost task repeats
-    alone with the same result; its number is the high part of sequence_id. Within a batch of
-    rows long pieces go first. At most `open_bins` bins are open, so memory doesn't grow with
-    the input and a partition wastes at most what those have free at its end.
+    partition packs its own rows online, as they come, so nothing is shuffled and a lost task
+    repeats alone with the same result; its number is the high part of sequence_id. Pieces come
+    in lots of LOT, the longest of a lot first. At most `open_bins` bins are open, so memory doesn't
+    grow with the input and a partition wastes at most what those have free at its end.
 
     Null and empty texts are one id, `end_id`. Repeated rows are packed each; a null id stays
     null; other columns are ignored. An empty table gives no rows.
@@ -92,8 +93,10 @@ def pack(
                             ids.append(cut.astype(np.int32))
                     done += 1
             sequence, offset = [0] * len(row), [0] * len(row)
-            for i in np.argsort(-np.array(length), kind="stable").tolist():
-                sequence[i], offset[i] = bins.place(length[i])
+            sizes = np.array(length)
+            for at in range(0, len(row), LOT):
+                for i in (at + np.argsort(-sizes[at : at + LOT], kind="stable")).tolist():
+                    sequence[i], offset[i] = bins.place(length[i])
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, sequence, offset))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             if keep_ids:
