@@ -24,8 +24,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+SHORTEST = 16  # characters of a random string; as long as the shortest RUN
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
+CALLED_DIGEST = re.compile(r"(?:md5|sha-?[0-9]*|digest|checksum|hash|etag|commit|revision|integrity)[^A-Za-z0-9]{0,4}\Z", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 PART = re.compile(UUID.pattern + "|[A-Za-z0-9+]+", re.IGNORECASE)
@@ -39,9 +41,14 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_random(word: str, vocabulary: str, max_chars_per_token: float) -> bool:
-    """Low characters per token, unless the string is a digest, an identifier or a plain number."""
-    if DIGEST.fullmatch(word) or UUID.fullmatch(word) or NUMBER.fullmatch(word) or (NAME.fullmatch(word) and not word.isalpha()):
+def is_random(word: str, vocabulary: str, max_chars_per_token: float, before: str = "") -> bool:
+    """Low characters per token, unless the string is a known digest, an identifier or a plain number.
+
+    A digest is known by a word for one at the end of `before`, what stands before the string.
+    """
+    if DIGEST.fullmatch(word) and CALLED_DIGEST.search(before):
+        return False
+    if UUID.fullmatch(word) or NUMBER.fullmatch(word) or (NAME.fullmatch(word) and not word.isalpha()):
         return False
     if not re.search("[A-Za-z]", word):
         return False
@@ -51,7 +58,8 @@ def is_random(word: str, vocabulary: str, max_chars_per_token: float) -> bool:
 def hidden(word: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[int, int]]:
     """Spans of random strings that words glued by '/', '=', '_' or '-' hide: neighbouring parts of few characters a token.
 
-    Known digests, UUIDs and readable parts end a stretch, so that they neither hide nor join a neighbour.
+    Digests (parts of such a string are names of content), UUIDs and readable parts end a stretch,
+    so that they neither hide nor join a neighbour.
     """
     spans, start, end = [], -1, -1
     for m in PART.finditer(word):
@@ -67,7 +75,7 @@ def hidden(word: str, vocabulary: str, max_chars_per_token: float) -> list[tuple
             start = -1
     if start >= 0:
         spans.append((start, end))
-    return [(a, b) for a, b in spans if b - a >= 20 and is_random(word[a:b], vocabulary, max_chars_per_token)]
+    return [(a, b) for a, b in spans if b - a >= SHORTEST and is_random(word[a:b], vocabulary, max_chars_per_token)]
 
 
 def find(text: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[int, int, int]]:
@@ -82,12 +90,14 @@ def find(text: str, vocabulary: str, max_chars_per_token: float) -> list[tuple[i
             spans += [(a + m.start(), 1, a + m.end()) for m in ACCESS.finditer(run[0]) if m.end() - m.start() >= 16]
         if b - a >= 32:
             spans += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(run[0])]
-        if b - a >= 20:
-            for m in CANDIDATE.finditer(run[0]):
-                if is_random(m[0], vocabulary, max_chars_per_token):
-                    spans.append((a + m.start(), 3, a + m.end()))
-                else:
-                    spans += [(a + m.start() + i, 3, a + m.start() + j) for i, j in hidden(m[0], vocabulary, max_chars_per_token)]
+        for m in CANDIDATE.finditer(run[0]):
+            if m.end() - m.start() < SHORTEST:
+                continue
+            at = a + m.start()
+            if is_random(m[0], vocabulary, max_chars_per_token, text[max(0, at - 24) : at]):
+                spans.append((at, 3, a + m.end()))
+            elif not DIGEST.fullmatch(m[0]):
+                spans += [(at + i, 3, at + j) for i, j in hidden(m[0], vocabulary, max_chars_per_token)]
     return sorted(spans)
 
 
@@ -104,10 +114,12 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
-    Base kinds are patterns. Spans of kind `random` are strings of 20 or more base64 letters,
+    Base kinds are patterns. Spans of kind `random` are strings of 16 or more base64 letters,
     with a letter, that take so many tokens that a token covers fewer than `max_chars_per_token`
-    characters, or such stretches of the parts that '/', '=', '_' and '-' make of longer strings; known digests (hexadecimal of a digest's length), UUIDs,
-    plain numbers and identifiers (words and short numbers joined by marks) are left out.
+    characters, or such stretches of the parts that '/', '=', '_' and '-' make of longer strings.
+    Left out are known digests (hexadecimal of a digest's length behind a word for one, as in
+    "sha1: ...", or as part of a path), UUIDs, plain numbers and identifiers (words and short
+    numbers joined by marks).
 
     Null and empty texts have no spans (spans '', base_sha256 of the empty string). Rows are
     independent: repeated rows give repeated results, a null id stays null, other columns are
@@ -136,14 +148,16 @@ def scan_secrets(
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", vocabulary: str = "byte_bpe_50k.tiktoken", max_chars_per_token: float = 2.0, mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every span replaced by `mask` and the length set anew; overlapping spans share one mask.
 
-    Rows without spans pass unchanged, nulls included; no row goes.
+    Rows without spans pass unchanged, null and empty texts included; no row goes, repeated ones
+    are masked each, and other columns stay as they are. Without `length_col` only the text
+    changes. An empty table gives an empty one.
     """
     at, n_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else -1
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             columns = list(batch.columns)
-            texts, lengths = columns[at].to_pylist(), columns[n_at].to_pylist()
+            texts, lengths = columns[at].to_pylist(), columns[n_at].to_pylist() if n_at >= 0 else [0] * batch.num_rows
             for i, text in enumerate(texts):
                 if text and (spans := find(text, vocabulary, max_chars_per_token)):
                     parts, reached, done = [], 0, -1
