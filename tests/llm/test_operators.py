@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 from parchment.llm import language_id, quality
 from parchment.llm.bpe import ByteBpe, bpe_round_trip
-from parchment.llm.chroma import align, matches, sung
 from parchment.llm.common import text_bytes
 from parchment.llm.exact_dedup import drop_copies, exact_dedup
 from parchment.llm.jaccard import Bands, NgramJoin, apart, drop_near_copies, wide_sketches
@@ -309,72 +308,6 @@ def test_language_and_quality(spark):
     assert quality.score_quality(none, quality.train(docs, labels.where("doc_id < 0"))).count() == 0
 
 
-def test_recordings_align(spark):
-    rng = random.Random(8)
-    song = [f"w{rng.randrange(50)}" for _ in range(150)]
-    texts = [(20, " ".join(song)), (21, " ".join(song[30:])), (22, " ".join(f"w{rng.randrange(50)}" for _ in range(150))), (23, " ".join(song)), (24, None)]
-    got = align(sung(spark.createDataFrame(texts, "rec_id long, text string"), "rec_id", "text")).collect()
-    assert {(r["rec_id"], r["class_id"]) for r in got if r["kind"] == "member"} == {(20, 20), (21, 21), (22, 22), (23, 20), (24, 24)}
-    match = {(r["rec_id"], r["class_id"]): r for r in got if r["kind"] == "match"}
-    assert set(match) == {(20, 21)} and match[(20, 21)]["place"] == -30 and match[(20, 21)]["bit_error"] < 0.05
-
-
-def ends(parts):
-    return np.arange(len(parts)), np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-
-
-def plain_matches(xs, ys, least_overlap=16, most_error=0.2):
-    out = {}
-    for (i, x), (j, y) in ((a, b) for a in enumerate(xs) for b in enumerate(ys) if a[0] != b[0]):
-        for place in range(least_overlap - len(x), len(y) - least_overlap + 1):
-            a, b = x[max(0, -place) :], y[max(0, place) :]
-            n = min(len(a), len(b))
-            wrong = np.bitwise_count(a[:n] ^ b[:n]) if n >= least_overlap else np.full(1, 32)
-            if wrong.mean() / 32 <= most_error:
-                out[i, j, place] = (int((wrong == 0).sum()), n, float(wrong.mean() / 32))
-    return out
-
-
-def test_equal_prints_find_what_brute_force_finds():
-    rng, xs, ys = np.random.default_rng(6), [], []
-    for k in range(240):  # short recordings, overlaps of 16 to 24 prints at the ends, and longer ones; 5 % of bits wrong
-        n = 16 + k % 9
-        x, y = rng.integers(0, 1 << 32, (2, n if k % 3 == 0 else 60 if k % 3 == 1 else n + k % 5), dtype=np.uint64)
-        noise = (rng.random((n, 32)) < 0.05) @ (np.uint64(1) << np.arange(32, dtype=np.uint64))
-        y[:n] = x[len(x) - n :] ^ noise
-        xs.append(x.astype(np.uint32)), ys.append(y.astype(np.uint32))
-    ys = [ys[-1], *ys[:-1]]  # no pair of one id
-    want = plain_matches(xs, ys)
-    got = {m[:3]: m[3:6] for m in matches(*ends(xs), *ends(ys), 16, 0.2, 17)}
-    assert len(want) >= 240 and set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
-    assert len(got) >= 0.95 * len(want) and all(want[k][0] == 0 for k in set(want) - set(got))
-
-
-def test_constant_audio_gives_every_offset():
-    x = [np.repeat(np.array([0, 0xFFFFFFFF], np.uint32), [20, n]) for n in (30, 40)]
-    got = {m[:3]: m[3:6] for m in matches(*ends(x), *ends(x), 16, 0.2, 17)}
-    assert got == plain_matches(x, x)
-
-
-def test_stretches_and_second_offsets_match():
-    rng = np.random.default_rng(7)
-    x, y = rng.integers(0, 1 << 32, (2, 200), dtype=np.uint32)
-    y[40:70] = x[100:130]  # a passage between unrelated parts
-    y[150:156] = x[100:106]  # a repeat that wins no stretch
-    y[170:190] = x[10:30]  # and another passage at its own offset
-    got = {m[2]: m for m in matches(np.array([1]), x, np.array([0, 200]), np.array([2]), y, np.array([0, 200]), 16, 0.2, 2)}
-    assert set(got) == {-60, 160}
-    assert got[-60][5] > 0.2 and got[-60][6] <= 100 and got[-60][6] + got[-60][7] >= 130 and got[-60][8] <= 0.2 and got[160][3] >= 20
-
-
-def test_short_recordings_align(spark):
-    rng = random.Random(9)
-    song = [f"w{rng.randrange(50)}" for _ in range(25)]
-    texts = [(20, " ".join(song)), (21, " ".join(["x1", *song[1:]])), (22, " ".join(song[:24]))]
-    got = align(sung(spark.createDataFrame(texts, "rec_id long, text string"), "rec_id", "text")).collect()
-    assert {(r["class_id"], r["place"], r["overlap"]) for r in got if r["kind"] == "match"} == {(21, 0, 17), (22, 0, 16)}
-
-
 def test_copies_of_a_text_come_back_by_run(spark):
     texts = ["same"] * 400 + ["other"] + [f"t{i % 150}" for i in range(300)]
     df = exact_dedup(docs_of(spark, texts).repartition(8))
