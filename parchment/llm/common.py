@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
@@ -51,7 +51,10 @@ def id_crc32(column) -> F.Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each part holds about `limit` bytes of text, and one row at least."""
+    """Cut Arrow batches so that each part holds about `limit` bytes of text, and one row at least.
+
+    At the end, memory that Arrow keeps for later goes back to the system: workers live on.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -60,6 +63,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = SLIC
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

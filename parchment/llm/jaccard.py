@@ -17,7 +17,7 @@ from parchment.llm.components import components
 
 SKETCH_WORDS = 8
 FILTER_WORDS = 1 << 20
-BLOCK_KEYS = 1 << 20
+BLOCK_KEYS = 1 << 19
 CROWD = 8  # nodes at a key from which on it has hubs
 PAIRS_PER_PART = 256
 CODES = byte_codes(29)
@@ -321,7 +321,7 @@ class NgramJoin:
         both = self.with_sets(self.with_sets(pairs, sets, "a"), sets, "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, "members_a"):
                 keep = []
                 for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
