@@ -42,6 +42,12 @@ def long_fields(invoices: DataFrame) -> DataFrame:
     return heads.unionByName(items.select("doc_id", "item_no", F.inline(F.array(*parts))))
 
 
+def top_field(invoices: DataFrame, field: str, kind: str) -> DataFrame:
+    """The rows of `long_fields` of one top-level field, from that column alone."""
+    number, day = (F.col(field) if kind == x else F.lit(None) for x in ("number", "date"))
+    return invoices.select("doc_id", F.lit(None).cast("int").alias("item_no"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col(field).cast("string").alias("value"), number.cast("double").alias("value_num"), day.cast("date").alias("value_date"))
+
+
 def windows(lines: DataFrame, most: int = DEFAULTS.window_lines) -> DataFrame:
     """All runs of 1 to `most` neighbouring lines of a page: doc_id, page, start, size, text, box."""
     frame = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(0, most - 1)
@@ -58,10 +64,18 @@ def single(lines: DataFrame) -> DataFrame:
 
 
 def score_numbers(fields: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs of number fields and lines that print the number, whatever its sign."""
-    printed = single(lines).withColumn("numbers", F.transform(number_tokens(F.col("text")), lambda t: F.abs(parse_number(t))))
-    pairs = fields.where("value_num IS NOT NULL").join(printed.where(F.size("numbers") > 0), "doc_id")
-    return pairs.where(F.exists("numbers", lambda n: F.abs(n - F.abs("value_num")) < 0.005)).drop("numbers").withColumn("score", F.lit(100.0))
+    """Pairs of number fields and lines that print the number, whatever its sign.
+
+    Each token is parsed once. Numbers less than half a cent apart differ by one whole cent at
+    most, so fields meet tokens by document and cents, their own and both neighbouring ones.
+    """
+    tokens = single(lines.where(F.col("text").rlike("[0-9]"))).withColumn("token", F.explode(number_tokens(F.col("text"))))
+    printed = tokens.withColumn("printed", F.abs(parse_number(F.col("token")))).where("printed IS NOT NULL").drop("token")
+    printed = printed.withColumn("cents", F.round(F.col("printed") * 100).cast("long"))
+    cents = F.round(F.abs("value_num") * 100).cast("long")
+    wanted = fields.where("value_num IS NOT NULL").withColumn("cents", F.explode(F.array(cents - 1, cents, cents + 1)))
+    pairs = wanted.join(printed, ["doc_id", "cents"]).where(F.abs(F.col("printed") - F.abs("value_num")) < 0.005)
+    return pairs.drop("cents", "printed").withColumn("score", F.lit(100.0))
 
 
 def score_dates(fields: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,8 @@ PROMPTS = ("v1", "v2", "v3")
 
 
 def json_text(raw: Column) -> Column:
-    """From the first { to the last }, without code fences; null if there is none."""
-    bare = F.regexp_replace(raw, r"```(?:json)?", "")
-    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    """From the first { to the last }, which leaves code fences around it out; null if there is none."""
+    found = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
     return F.when(found != "", found)
 
 
@@ -30,63 +32,77 @@ def scalar(answer: Column, path: str) -> Column:
     return F.try_variant_get(answer, f"$.{path}", "string")
 
 
-def line_items(answer: Column) -> Column:
-    """Array of line items: a single object counts as one, nothing as none, anything else as null."""
-    kind = "array<struct<description:string,quantity:string,unit_price:string,total:string>>"
+def number(answer: Column, path: str) -> Column:
+    """JSON numbers as they are, texts by the rules for texts; other JSON has no number."""
+    shape = F.schema_of_variant(F.try_variant_get(answer, f"$.{path}", "variant"))
+    given = F.when(shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(answer, f"$.{path}", "double"))
+    return F.coalesce(given, F.when(shape == "STRING", parse_number(scalar(answer, path))))
+
+
+def is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
+def given_items(answer: Column) -> Column:
+    """Line items as given, an array of variants: a single object counts as one, nothing as none, anything else as null."""
     raw = F.try_variant_get(answer, "$.line_items", "variant")
-    one = F.try_variant_get(answer, "$.line_items", kind[6:-1])
-    shape = F.schema_of_variant(raw)
-    many = F.try_variant_get(answer, "$.line_items", kind)
-    given = F.when(shape.startswith("OBJECT"), F.array(one)).otherwise(many)
+    none = F.expr("cast(array() as array<variant>)")
+    return F.when(raw.isNull() | F.is_variant_null(raw), none).when(is_object(raw), F.array(raw)).otherwise(F.try_variant_get(answer, "$.line_items", "array<variant>"))
+
+
+def clean_item(item: Column) -> Column:
+    return F.struct(
+        clean_text(scalar(item, "description")).alias("description"),
+        number(item, "quantity").alias("quantity"),
+        number(item, "unit_price").alias("unit_price"),
+        number(item, "total").alias("total"),
+    )
+
+
+def faults(answer: Column, items: Column) -> Column:
+    """What is wrong with an answer, the first three faults; null if nothing is."""
+    bad = F.transform(items, lambda item, i: F.when(item.isNull() | F.is_variant_null(item) | ~is_object(item), F.concat(F.lit("line_items."), i.cast("string"), F.lit(": must be an object"))))
+    bad = F.slice(F.array_compact(bad), 1, 3)
+    found = F.when(items.isNull(), "line_items: must be a list of objects").when(F.size(bad) > 0, F.array_join(bad, "; "))
+    return F.when(answer.isNull(), "no JSON object in the answer").otherwise(F.concat(F.lit("JSON does not match the schema: "), found))
+
+
+def invoice(answer: Column, only: Sequence[str] | None = None) -> Column:
+    """Struct of the typed fields, or of those named, and `error`; with an error all fields are null."""
+
+    def typed(items: Column) -> Column:
+        return let(faults(answer, items), lambda error: cleaned(items, error))
 
-    def clean(item: Column) -> Column:
-        return F.struct(
-            clean_text(item["description"]).alias("description"),
-            parse_number(item["quantity"]).alias("quantity"),
-            parse_number(item["unit_price"]).alias("unit_price"),
-            parse_number(item["total"]).alias("total"),
-        )
+    def cleaned(items: Column, error: Column) -> Column:
+        fields = {x: clean_text(scalar(answer, x)) for x in ("vendor_name", "vendor_address", "invoice_number")}
+        fields |= {"invoice_date": parse_date(scalar(answer, "invoice_date")), "currency": currency(scalar(answer, "currency"))}
+        fields |= {x: number(answer, x) for x in ("subtotal", "tax", "total_amount")}
+        fields["line_items"] = F.transform(items, clean_item)
+        return F.struct(*(F.when(error.isNull(), value).alias(name) for name, value in fields.items() if only is None or name in only), error.alias("error"))
 
-    empty = F.expr("cast(array() as array<struct<description:string,quantity:double,unit_price:double,total:double>>)")
-    return F.when(raw.isNull() | F.is_variant_null(raw), empty).otherwise(F.transform(given, clean))
+    return let(given_items(answer), typed)
 
 
-def clean_answers(answers: DataFrame, second: DataFrame | None = None) -> DataFrame:
+def clean_answers(answers: DataFrame, second: DataFrame | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, invoice fields, n_attempts, error) of answers (doc_id, prompt_version, raw).
 
-    `second` has answers of a repeated request; it counts where the first isn't JSON. An answer
-    that is no JSON object, or whose line items are neither object nor list of objects, has
-    an error and null fields. Unknown keys are dropped.
+    `second` has answers of a repeated request, at most one per document; it counts where the
+    first has an error. An answer that is no JSON object, or whose line items are neither object
+    nor list of objects, has an error and null fields. Unknown keys are dropped. `only` names the
+    fields to type, if not all.
     """
+    typed = partial(invoice, only=only)
     first = answers.select("doc_id", parsed_json(F.col("raw")).alias("answer"))
-    if second is not None:
-        again = second.select("doc_id", parsed_json(F.col("raw")).alias("again"))
-        first = first.join(again, "doc_id", "left").select("doc_id", F.coalesce("answer", "again").alias("answer"), F.when(F.col("answer").isNull(), 2).otherwise(1).alias("n_attempts"))
-    else:
-        first = first.withColumn("n_attempts", F.lit(1))
-
-    def invoice(a: Column) -> Column:
-        items = line_items(a)
-        return let(
-            items,
-            lambda held: F.struct(
-                clean_text(scalar(a, "vendor_name")).alias("vendor_name"),
-                clean_text(scalar(a, "vendor_address")).alias("vendor_address"),
-                clean_text(scalar(a, "invoice_number")).alias("invoice_number"),
-                parse_date(scalar(a, "invoice_date")).alias("invoice_date"),
-                currency(scalar(a, "currency")).alias("currency"),
-                parse_number(scalar(a, "subtotal")).alias("subtotal"),
-                parse_number(scalar(a, "tax")).alias("tax"),
-                parse_number(scalar(a, "total_amount")).alias("total_amount"),
-                held.alias("line_items"),
-                F.when(a.isNull(), "no JSON object in the answer").when(held.isNull() | F.exists(held, lambda x: x.isNull()), "line_items must be a list of objects").alias("error"),
-            ),
-        )
-
-    # The id makes the struct non-deterministic, so the optimiser neither copies nor moves its parsing.
-    once = F.when(F.monotonically_increasing_id() >= 0, let(F.col("answer"), invoice))
-    rows = first.select("doc_id", "n_attempts", once.alias("invoice"))
-    return rows.select("doc_id", "invoice.*", "n_attempts")
+    # The id makes a struct non-deterministic, so the optimiser neither copies nor moves its parsing.
+    fixed = F.monotonically_increasing_id() >= 0
+    rows = first.select("doc_id", F.when(fixed, let(F.col("answer"), lambda a: typed(a))).alias("invoice"))
+    if second is None:
+        return rows.select("doc_id", "invoice.*").withColumn("n_attempts", F.lit(1))
+    rows = rows.join(second.select("doc_id", F.col("raw").alias("again")), "doc_id", "left")
+    repeated = F.col("invoice.error").isNotNull() & F.col("again").isNotNull()
+    rows = rows.select("doc_id", "invoice", F.when(fixed & repeated, let(parsed_json(F.col("again")), lambda a: typed(a))).alias("other"))
+    taken = F.col("other").isNotNull()
+    return rows.select("doc_id", F.when(taken, F.col("other")).otherwise(F.col("invoice")).alias("invoice"), F.when(taken, 2).otherwise(1).alias("n_attempts")).select("doc_id", "invoice.*", "n_attempts")
 
 
 def prompt_prefix(n_pages: Column) -> Column:

@@ -67,7 +67,7 @@ TOKENS = r"""
 )
 def printed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which totals are printed on their document, with which confidence and where."""
-    fields = top_numbers(spark, sf_dir).where("field = 'total_amount'")
+    fields = match.top_field(clean_answers(views.model_answers(spark, sf_dir), only=["total_amount"]), "total_amount", "number")
     found = match.results(fields, match.best_window(match.score_numbers(fields, views.ocr_lines(spark, sf_dir))))
     return found.select("doc_id", F.col("value_num").alias("total_amount"), "confidence", "matched_text")
 
@@ -123,7 +123,7 @@ def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {DUCK}, {ANSWERED} SELECT i.l_orderkey AS doc_id, i.item_no AS line, p_name AS description, l_quantity AS quantity, CAST(NULL AS DOUBLE) AS unit_price, round(l_extendedprice * 100) / 100 AS total FROM items i"
+    f"WITH {DUCK}, {ANSWERED} SELECT i.l_orderkey AS doc_id, i.item_no AS line, p_name AS description, l_quantity AS quantity, CASE i.l_orderkey % 3 WHEN 0 THEN l_quantity + 0.125 WHEN 1 THEN l_quantity * 1000 END AS unit_price, round(l_extendedprice * 100) / 100 AS total FROM items i"
 )
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their number."""

@@ -30,7 +30,9 @@ def ctes(dialect: dict[str, str]) -> str:
     damaged = money("(o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.37 ELSE 0 END)", d)
     box = d["box"].format("CAST(20 AS DOUBLE)", "CAST(20 * line_no AS DOUBLE)", "CAST(20 + 8 * length(text) AS DOUBLE)", "CAST(20 * line_no + 16 AS DOUBLE)", "page")
     vendor = "CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END"
-    item_json = "'{\"description\": \"' || p_name || '\", \"quantity\": ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ', \"unit_price\": null, \"total\": \"' || price || '\"}'"
+    # JSON numbers with three decimals, with an exponent, and none.
+    unit_json = "CASE l_orderkey % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || '.125' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || 'e3' ELSE 'null' END"
+    item_json = f"'{{\"description\": \"' || p_name || '\", \"quantity\": ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || ', \"unit_price\": ' || {unit_json} || ', \"total\": \"' || price || '\"}}'"
     head_lines = ", ".join(
         d["line"].format(number, text)
         for number, text in (
@@ -63,7 +65,7 @@ def ctes(dialect: dict[str, str]) -> str:
                CASE WHEN o_orderkey % 5 = 0 THEN '```json' || chr(10) ELSE '' END
                || '{{"vendor_name": "' || {vendor} || '", "invoice_number": "INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '", "invoice_date": '
                || CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE '"' || {d["dmy"].format("o_orderdate")} || '"' END
-               || ', "currency": "RM", "subtotal": "' || {total_plain} || '", "total_amount": "' || {damaged} || '", "line_items": [' || coalesce(item_json, '') || ']'
+               || ', "currency": "RM", "subtotal": ' || CASE WHEN o_orderkey % 4 = 1 THEN {total_plain} ELSE '"' || {total_plain} || '"' END || ', "total_amount": "' || {damaged} || '", "line_items": [' || coalesce(item_json, '') || ']'
                || CASE WHEN o_orderkey % 17 = 0 THEN ',' ELSE '' END || '}}'
                || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '```' ELSE '' END AS raw
         FROM heads LEFT JOIN sums ON l_orderkey = o_orderkey),
