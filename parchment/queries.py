@@ -153,7 +153,7 @@ def match_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("value_date").alias("invoice_date"), "confidence", "matched_text")
 
 
-@query(f"""WITH {DUCK} SELECT doc_id, 'MYR' AS currency, 'high' AS confidence, min(line_no) AS line FROM ocr_lines WHERE regexp_matches(lower(text), '(^|[^0-9a-z])rm($|[^0-9a-z])') GROUP BY doc_id""")
+@query(f"""WITH {DUCK} SELECT doc_id, 'MYR' AS currency, 'high' AS confidence, CAST(min(box.y0) / 20 AS INTEGER) AS line FROM ocr_lines WHERE regexp_matches(lower(text), '(^|[^0-9a-z])rm($|[^0-9a-z])') GROUP BY doc_id""")
 def match_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currencies found as names or symbols."""
     fields = match.long_fields(clean(spark, sf_dir)).where("field = 'currency'")
@@ -222,10 +222,35 @@ SCORED = f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
           UNION ALL SELECT doc_id, 'date', 'invoice_date', CASE WHEN invoice_date IS NULL THEN 'medium' ELSE 'high' END, CASE WHEN invoice_date IS NULL THEN 'ocr_fallback' ELSE 'model' END, true FROM t)"""
 
 
-@query(f"{SCORED} SELECT field, count(exact) AS evaluated, count(*) - count(exact) AS skipped, round(count(*) FILTER (WHERE exact) / count(exact), 4) AS exact_match FROM s GROUP BY field")
+def lcs(a: str, b: str) -> str:
+    """SQL of the length of the longest common subsequence of two texts, row by row of the usual table."""
+    cell = f"CASE WHEN unicode(substr({b}, j[1], 1)) = ch[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], done[j[1]]) END"
+    line = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INTEGER)]), lambda done, j: list_append(done, {cell}), [0])"
+    return f"list_last(list_reduce(list_transform(string_split({a}, ''), lambda ch: [unicode(ch)]), lambda row, ch: {line}, list_transform(range(length({b}) + 1), lambda j: 0)))"
+
+
+FUZZY = f"round(CASE WHEN exact IS NULL THEN NULL WHEN exact THEN 100.0 WHEN a IS NULL THEN 0.0 ELSE 200.0 * {lcs('a', 'b')} / (length(a) + length(b)) END, 1)"
+ALL_SCORED = f"""{SCORED},
+    v AS (SELECT t.doc_id, CASE WHEN found OR NOT labelled THEN total_amount ELSE printed_total END AS total, printed_total, vendor_name, c_name, lower(c_mktsegment) || ' street ' || CAST(doc_id % 97 AS VARCHAR) AS address FROM t JOIN heads ON o_orderkey = doc_id),
+    m AS (SELECT 'total_amount' AS field, doc_id, CASE WHEN doc_id % 23 <> 0 THEN abs(total - printed_total) < 0.005 END AS exact, {views.money('total')} AS a, {views.money('printed_total')} AS b FROM v
+          UNION ALL SELECT 'invoice_date', doc_id, true, '', '' FROM v
+          UNION ALL SELECT 'vendor_name', doc_id, vendor_name = c_name, lower(vendor_name), lower(c_name) FROM v
+          UNION ALL SELECT 'vendor_address', doc_id, CASE WHEN doc_id % 10 <> 1 THEN doc_id % 10 = 3 END, CASE doc_id % 10 WHEN 3 THEN address WHEN 7 THEN 'po box, ' || address END, address FROM v),
+    f AS (SELECT field, doc_id, exact, {FUZZY} AS fuzzy FROM m)"""
+
+
+@query(
+    f"""{ALL_SCORED} SELECT field, count(exact) AS evaluated, count(*) - count(exact) AS skipped, round(count(*) FILTER (WHERE exact) / count(exact), 4) AS exact_match,
+       round(count(*) FILTER (WHERE fuzzy >= 90) / count(exact), 4) AS fuzzy_match, round(avg(fuzzy), 1) AS avg_fuzzy_score FROM f GROUP BY field"""
+)
 def field_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics per field."""
-    return evaluate.field_metrics(scored(spark, sf_dir)).select("field", "evaluated", "skipped", "exact_match")
+    """Metrics per field, of all four labels."""
+    invoices = clean_answers(views.model_answers(spark, sf_dir), only=["vendor_name", "vendor_address"])
+    texts = match.top_field(invoices, "vendor_name", "text").unionByName(match.top_field(invoices, "vendor_address", "text"))
+    labels = evaluate.label_rows(views.labels(spark, sf_dir), {"company": "company", "address": "address"})
+    unknown = {x: F.lit(None).cast("string") for x in ("confidence", "source")}
+    scores = scored(spark, sf_dir).unionByName(evaluate.score_fields(labels, texts.withColumns(unknown)))
+    return evaluate.field_metrics(scores).drop("label_field")
 
 
 @query(
@@ -275,23 +300,26 @@ def wrong_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score_fields(labels, fields).where("NOT exact").select("doc_id")
 
 
-@query()
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, m AS (SELECT doc_id, c_name AS label, vendor_name AS value, false AS exact, lower(vendor_name) AS a, lower(c_name) AS b FROM answered JOIN heads ON o_orderkey = doc_id WHERE vendor_name <> c_name)
+    SELECT doc_id, label, value, {FUZZY} AS fuzzy FROM m ORDER BY fuzzy, doc_id LIMIT 10"""
+)
 def worst_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vendors furthest from their labels."""
     labels = evaluate.label_rows(views.labels(spark, sf_dir), {"company": "company"})
-    fields = match.long_fields(clean(spark, sf_dir)).where("field = 'vendor_name'").withColumns({"confidence": F.lit("low"), "source": F.lit("model")})
+    invoices = clean_answers(views.model_answers(spark, sf_dir), only=["vendor_name"])
+    fields = match.top_field(invoices, "vendor_name", "text").withColumns({"confidence": F.lit("low"), "source": F.lit("model")})
     return evaluate.worst_examples(evaluate.score_fields(labels, fields), "vendor_name", 10).select("doc_id", "label", "value", "fuzzy")
 
 
-@query(
-    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'saved' ELSE 'fresh' END AS record FROM orders WHERE o_orderkey % 2 = 0"""
-)
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'saved' ELSE 'fresh' END AS record FROM orders""")
 def resume_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved records of a run's samples, the last of each key, and fresh ones of the rest."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey")
-    samples = orders.where("o_orderkey % 2 = 0").select("key")
-    once = orders.where("o_orderkey % 4 = 0 OR (o_orderkey % 2 = 1 AND o_orderkey % 5 = 0)")  # odd keys are no samples
-    saved = once.select("key", F.lit("old").alias("record"), F.lit(0).alias("seq")).union(once.select("key", F.lit("saved"), F.lit(1)))
+    samples = orders.select("key")
+    known = orders.where("o_orderkey % 4 = 0").select("key")
+    known = known.union(orders.select(F.concat(F.lit("other-"), "key")))  # records of another run, of no sample
+    saved = known.select("key", F.lit("old").alias("record"), F.lit(0).alias("seq")).union(known.select("key", F.lit("saved"), F.lit(1)))
     done = files.last_by_key(saved).drop("seq")
     fresh = evaluate.to_do(samples, done).withColumn("record", F.lit("fresh"))
     return evaluate.resumed(samples, done, fresh)
@@ -317,7 +345,12 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.review_rows(docs, fields).drop("pages", "seconds")
 
 
-@query()
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, {TOKENS},
+    v AS (SELECT doc_id, 0 AS nth, 'Subtotal' AS label, subtotal AS value FROM answered UNION ALL SELECT doc_id, 1, 'Total', total_amount FROM answered),
+    h AS (SELECT v.doc_id, label, nth, arg_max(p.box, 1000000 * p.page + p.box.y0) AS box FROM v JOIN printed p ON p.doc_id = v.doc_id AND abs(abs(p.number) - abs(v.value)) < 0.005 GROUP BY 1, 2, 3)
+    SELECT doc_id, box.page AS page, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1, string_agg(label, ' + ' ORDER BY nth) AS label, 'high' AS confidence FROM h GROUP BY doc_id, box"""
+)
 def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes to draw, shared ones once with the worst confidence."""
     fields = top_numbers(spark, sf_dir)
@@ -385,3 +418,160 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = views.ocr_lines(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"), F.count("*").alias("n_lines"))
     return counts.withColumn("warning", files.truncation_warning(F.col("n_pages"), Settings(max_pages=1)))
+
+
+BAD_SECOND = '{"line_items": [1, "x", {}, null, 2]}'
+WRONG = "'JSON does not match the schema: "
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, b AS (SELECT doc_id, total_amount, doc_id % 31 = 0 OR doc_id % 37 = 0 AS bad FROM answered),
+    e AS (SELECT doc_id, total_amount, CASE WHEN bad AND doc_id % 3 <> 0 THEN 2 ELSE 1 END AS n_attempts,
+          CASE WHEN NOT bad THEN NULL WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN {WRONG}line_items.0: must be an object; line_items.1: must be an object; line_items.3: must be an object' END
+               WHEN doc_id % 37 = 0 THEN 'no JSON object in the answer' ELSE {WRONG}line_items.0: must be an object' END AS error FROM b)
+    SELECT doc_id, n_attempts, error, CASE WHEN error IS NULL THEN total_amount END AS total_amount FROM e"""
+)
+def retried_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulty answers, and what a second one of most makes of them (JS3, JS4, P5)."""
+    answers = written(views.model_answers(spark, sf_dir), "answers")
+    key, raw = F.col("doc_id"), F.col("raw")
+    listed = F.when(key % 31 == 0, F.replace(raw, F.lit('"line_items": ['), F.lit('"line_items": [null, '))).otherwise(raw)
+    first = answers.withColumn("raw", F.when(key % 37 == 0, "I can't read it.").otherwise(listed))
+    second = answers.where(((key % 31 == 0) | (key % 37 == 0)) & (key % 3 != 0)).withColumn("raw", F.when(key % 2 == 0, BAD_SECOND).otherwise(raw))
+    return clean_answers(first, second, only=["total_amount"]).select("doc_id", "n_attempts", "error", "total_amount")
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, abs(total_amount - subtotal) < 0.005 AS hit FROM answered)
+    SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 4 = 0 THEN 'saved' ELSE 'fresh' END AS record, doc_id % 4 <> 0 AND hit AS exact FROM p WHERE place > 200"""
+)
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over labelled samples from the 201st on: saved records count, only the rest is predicted and scored."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    labels = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("doc_id"), text.show_money(F.col("o_totalprice")).alias("total"))
+    saved = labels.where("doc_id % 4 = 0").select("key", F.lit("saved").alias("record"), F.lit(False).alias("exact"), F.lit(0).alias("seq"))
+
+    def predict(samples: DataFrame) -> DataFrame:
+        answers = views.model_answers(spark, sf_dir).join(samples.select("doc_id"), "doc_id", "left_semi")
+        fields = match.top_field(clean_answers(answers, only=["total_amount"]), "total_amount", "number").withColumns({"confidence": F.lit("low"), "source": F.lit("model")})
+        scores = evaluate.score_fields(evaluate.label_rows(samples, {"total": "total"}), fields)
+        return scores.select(F.col("doc_id").cast("string").alias("key"), F.lit("fresh").alias("record"), "exact")
+
+    return evaluate.run(labels, predict, files.last_by_key(saved).drop("seq"), order="doc_id", offset=200)
+
+
+@query(
+    """WITH b AS (SELECT user_id AS batch, count(*) AS files, count(*) FILTER (WHERE event_id % 10 <> 0) AS done, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 3 = 0) AS to_review, count(*) FILTER (WHERE event_id % 10 = 0) AS failed FROM events GROUP BY 1)
+    SELECT *, done || ' of ' || files || ' files processed' || CASE WHEN to_review > 0 THEN '; ' || to_review || ' to review' ELSE '' END || CASE WHEN failed > 0 THEN '; ' || failed || ' failed' ELSE '' END AS status FROM b"""
+)
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each batch, and a line for people; users stand for batches."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.col("user_id").alias("batch"), F.when(F.col("event_id") % 10 == 0, "failed").alias("error"), (F.col("event_id") % 3 == 0).alias("review"))
+    return export.batch_status(rows, "batch")
+
+
+@query(
+    """SELECT o_custkey AS batch, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || '. order-' || o_orderkey || '.pdf' || CASE WHEN o_orderkey % 29 = 0 THEN ' (failed)' WHEN o_orderkey % 7 = 0 THEN ' (needs review)' ELSE '' END AS label FROM orders"""
+)
+def picker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered labels of a batch's documents; customers stand for batches."""
+    key = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("batch"), key.alias("doc_id"), F.concat(F.lit("order-"), key, F.lit(".pdf")).alias("file_name"), F.when(key % 29 == 0, "failed").alias("error"), (key % 7 == 0).alias("review"))
+    return export.picker_labels(rows, "batch", "doc_id").select("batch", "doc_id", "label")
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, page_id % 7 AS kind, CASE WHEN page_id % 7 = 2 THEN 0 ELSE octet_length(encode(html)) * 1000 END AS size, 'page-' || page_id || CASE page_id % 7 WHEN 0 THEN '.txt' WHEN 4 THEN '.JPG' ELSE '.pdf' END AS name FROM pages)
+    SELECT page_id, name || CASE WHEN kind = 0 THEN ': this type of file is not supported (JPEG, JPG, PDF, PNG are).' WHEN kind = 1 THEN ': the file was not found.' WHEN kind = 2 THEN ': the file is empty.'
+           WHEN size > 2 * 1048576 THEN ': the file has ' || ((size * 10 + 524288) // 1048576) // 10 || '.' || ((size * 10 + 524288) // 1048576) % 10 || ' MB, more than 2 MB.'
+           WHEN kind = 3 THEN ': the content is not that of a PDF file.' END AS message FROM p"""
+)
+def upload_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload rules of a form, with the file's name and size; pages stand for files."""
+    from parchment.config import Settings
+
+    kind = F.col("page_id") % 7
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = F.concat(F.lit("page-"), "page_id", F.when(kind == 0, ".txt").when(kind == 4, ".JPG").otherwise(".pdf"))
+    length = F.when(kind == 2, 0).otherwise(F.octet_length("html") * 1000)
+    head = F.when(kind == 3, F.encode("html", "UTF-8")).when(kind == 4, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.encode(F.lit("%PDF-1.7"), "UTF-8"))
+    return rows.select("page_id", files.upload_message(name, kind != 1, length, head, Settings(max_upload_bytes=2 << 20)).alias("message"))
+
+
+@query(
+    f"""{SCORED} SELECT doc_id, CASE field WHEN 'total_amount' THEN 'Total' ELSE 'Invoice date' END AS "column", CASE confidence WHEN 'medium' THEN 'FFF2CC' ELSE 'F8CBAD' END AS fill FROM s WHERE confidence IN ('medium', 'low')"""
+)
+def cell_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of doubtful cells."""
+    return export.cell_fills(scored(spark, sf_dir).withColumn("item_no", F.lit(None).cast("int"))).drop("item_no")
+
+
+@query(f"""WITH {DUCK} SELECT doc_id, page, line_no, greatest(0.0, least(box.x0, 280.0)) AS x, CASE WHEN box.y0 >= 24 THEN box.y0 - 24 ELSE box.y1 END AS y FROM ocr_lines""")
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where labels of boxes go: above, else below, within the page's width."""
+    lines = views.ocr_lines(spark, sf_dir)
+    place = export.label_place(F.lit(400.0), F.lit(120.0), F.lit(24.0), F.col("box.x0"), F.col("box.y0"), F.col("box.y1"))
+    return lines.select("doc_id", "page", "line_no", place.alias("place")).select("doc_id", "page", "line_no", "place.*")
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, {views.money('l_extendedprice', views.DUCK)} AS total, strftime(l_shipdate, '%Y-%m-%d') AS day,
+       CASE WHEN l_linenumber = 1 THEN '—' ELSE '&lt;' || l_returnflag || ' &amp; ' || l_linestatus || '&gt;' END AS note FROM lineitem"""
+)
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as people see them."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    no_text, no_number, no_day = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("date")
+    note = F.when(F.col("l_linenumber") != 1, F.concat(F.lit("<"), "l_returnflag", F.lit(" & "), "l_linestatus", F.lit(">")))
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        text.display(F.lit("quantity"), no_text, F.col("l_quantity"), no_day).alias("quantity"),
+        text.display(F.lit("number"), no_text, F.col("l_extendedprice"), no_day).alias("total"),
+        text.display(F.lit("date"), no_text, no_number, F.col("l_shipdate").cast("date")).alias("day"),
+        text.display(F.lit("text"), note, no_number, no_day).alias("note"),
+    )
+
+
+@query(
+    f"""{SCORED}, a AS (SELECT round(count(*) FILTER (WHERE abs(total_amount - printed_total) < 0.005) / count(*), 4) AS exact_a FROM t WHERE doc_id % 23 <> 0),
+    b AS (SELECT round(count(*) FILTER (WHERE exact) / count(exact), 4) AS exact_b FROM s WHERE field = 'total_amount')
+    SELECT 'total_amount' AS field, exact_a, exact_b, round(exact_b - exact_a, 4) AS change FROM a, b"""
+)
+def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rates of totals by the model alone and after the fallback."""
+    labels = evaluate.label_rows(views.labels(spark, sf_dir), {"total": "total"})
+    invoices = clean_answers(views.model_answers(spark, sf_dir), only=["total_amount"])
+    alone = evaluate.score_fields(labels, match.top_field(invoices, "total_amount", "number").withColumns({"confidence": F.lit("low"), "source": F.lit("model")}))
+    both = scored(spark, sf_dir).where("field = 'total_amount'")
+    return evaluate.compare_runs(evaluate.field_metrics(alone), evaluate.field_metrics(both))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL WHEN 3 THEN 422 WHEN 4 THEN 500 ELSE 400 END AS code,
+       CASE event_id % 6 WHEN 5 THEN NULL WHEN 0 THEN 'file-' || event_id || ': this type of file is not supported.' WHEN 1 THEN 'file-' || event_id || ': the image could not be read.'
+       WHEN 2 THEN 'file-' || event_id || ': the PDF could not be read; it may be broken or have a password.' WHEN 3 THEN 'file-' || event_id || ': the model could not read this document.' ELSE 'file-' || event_id || ': something went wrong with this file.' END AS message FROM events"""
+)
+def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status codes and messages by class of error; events stand for failed documents."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    classes = F.array(*[F.lit(x) for x in ("UnsupportedFile", "UnreadableImage", "PdfError", "ExtractionError", "ValueError")])
+    kind = F.get(classes, (F.col("event_id") % 6).cast("int"))
+    return events.select("event_id", files.http_code(kind).alias("code"), files.failure_message(F.concat(F.lit("file-"), "event_id"), kind).alias("message"))
+
+
+@query(
+    f"""WITH {DUCK}, p AS (SELECT doc_id, count(DISTINCT page) AS n_pages, count(*) FILTER (WHERE page < 2) AS n_lines FROM ocr_lines GROUP BY doc_id)
+    SELECT doc_id, n_lines, CASE WHEN n_pages > 1 THEN 'The images are ' || n_pages || ' pages of one document. ' ELSE '' END AS prefix FROM p"""
+)
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the first two pages, and what a request says about several pages (S5, T4, JS6)."""
+    from parchment.config import Settings
+    from parchment.operators.parse import prompt_prefix
+
+    lines = written(views.ocr_lines(spark, sf_dir).select("doc_id", "page"), "pages")
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
+    kept = files.first_pages(lines, Settings(max_pages=2)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return pages.join(kept, "doc_id").select("doc_id", "n_lines", prompt_prefix(F.col("n_pages")).alias("prefix"))

@@ -48,9 +48,32 @@ def upload_error(suffix: Column, length: Column, head: Column, settings: Setting
     )
 
 
-def friendly_error(code: Column) -> Column:
-    """The same faults in words for people."""
-    return F.when(code == 400, "The file is empty.").when(code == 413, "The file is too large.").when(code == 415, "Please use a PDF, PNG or JPG file.").when(code == 422, "The document could not be read.").when(code.isNotNull(), "Something went wrong.")
+def upload_message(name: Column, there: Column, length: Column, head: Column, settings: Settings = DEFAULTS) -> Column:
+    """What a form says about the first rule that a file breaks, with its name, or null: type, existence, size, content."""
+    suffix = suffix_of(name)
+    known = ", ".join(sorted(x.lstrip(".").upper() for x in SIGNATURES))
+    tenths = F.floor((length * 10 + (1 << 19)) / (1 << 20)).cast("long")  # of MB, rounded
+    size = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    said = (
+        F.when(~suffix.isin(*SIGNATURES), F.lit(f"this type of file is not supported ({known} are)."))
+        .when(~F.coalesce(there, F.lit(False)), "the file was not found.")
+        .when(F.coalesce(length, F.lit(0)) == 0, "the file is empty.")
+        .when(length > settings.max_upload_bytes, F.concat(F.lit("the file has "), size, F.lit(f" MB, more than {settings.max_upload_bytes >> 20} MB.")))
+        .when(~has_valid_signature(suffix, head), F.concat(F.lit("the content is not that of a "), F.upper(F.ltrim(suffix, F.lit("."))), F.lit(" file.")))
+    )
+    return F.concat(name, F.lit(": "), said)
+
+
+def failure_message(name: Column, error_class: Column) -> Column:
+    """A failed document's error in words for people, by its class."""
+    said = {
+        "UnsupportedFile": "this type of file is not supported.",
+        "PdfError": "the PDF could not be read; it may be broken or have a password.",
+        "UnreadableImage": "the image could not be read.",
+        "ExtractionError": "the model could not read this document.",
+    }
+    texts = F.create_map(*[F.lit(x) for pair in said.items() for x in pair])
+    return F.when(error_class.isNotNull(), F.concat(name, F.lit(": "), F.coalesce(F.element_at(texts, error_class), F.lit("something went wrong with this file."))))
 
 
 def http_code(error_class: Column) -> Column:

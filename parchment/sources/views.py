@@ -28,7 +28,11 @@ def ctes(dialect: dict[str, str]) -> str:
     d = dialect
     total, total_plain = money("o_totalprice", d), money("o_totalprice")
     damaged = money("(o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.37 ELSE 0 END)", d)
-    box = d["box"].format("CAST(20 AS DOUBLE)", "CAST(20 * line_no AS DOUBLE)", "CAST(20 + 8 * length(text) AS DOUBLE)", "CAST(20 * line_no + 16 AS DOUBLE)", "page")
+    # Amounts that say so stand right of their label, on its row.
+    beside = "(doc_id % 6 = 0 AND text LIKE 'RM % net')"
+    left, row = f"(CASE WHEN {beside} THEN 300 ELSE 20 END)", f"(line_no - CASE WHEN {beside} THEN 1 ELSE 0 END)"
+    box = d["box"].format(f"CAST({left} AS DOUBLE)", f"CAST(20 * {row} AS DOUBLE)", f"CAST({left} + 8 * length(text) AS DOUBLE)", f"CAST(20 * {row} + 16 AS DOUBLE)", "page")
+    address = "(c_mktsegment || ' street ' || CAST(o_orderkey % 97 AS VARCHAR(20)))"
     vendor = "CASE WHEN o_orderkey % 19 = 0 THEN 'acme holdings ltd' WHEN o_orderkey % 13 = 0 THEN 'qqqqqq' || substr(c_name, 7) ELSE c_name END"
     # JSON numbers with three decimals, with an exponent, and none.
     unit_json = "CASE l_orderkey % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || '.125' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || 'e3' ELSE 'null' END"
@@ -41,7 +45,7 @@ def ctes(dialect: dict[str, str]) -> str:
             ("2", "'Date: ' || " + d["dmy"].format("o_orderdate")),
             ("3 + n_items", f"'SUBTOTAL ' || {total_plain}"),
             ("4 + n_items", f"CASE WHEN o_orderkey % 3 = 0 THEN 'GRAND TOTAL' ELSE 'TOTAL RM ' || {total} END"),
-            ("5 + n_items", f"CASE WHEN o_orderkey % 3 = 0 THEN 'RM ' || {total} END"),
+            ("5 + n_items", f"CASE WHEN o_orderkey % 3 = 0 THEN 'RM ' || {total} || CASE WHEN o_orderkey % 6 = 0 THEN ' net' ELSE '' END END"),
         )
     )
     return f"""
@@ -52,7 +56,7 @@ def ctes(dialect: dict[str, str]) -> str:
     counts AS (SELECT l_orderkey, CAST(count(*) AS INT) AS n_items FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
     sums AS (SELECT l_orderkey, {d["joined"].format(item_json, "item_no")} AS item_json FROM items GROUP BY l_orderkey),
     heads AS (
-        SELECT o_orderkey, o_orderdate, o_totalprice, c_name, coalesce(n_items, 0) AS n_items
+        SELECT o_orderkey, o_orderdate, o_totalprice, c_name, c_mktsegment, coalesce(n_items, 0) AS n_items
         FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN counts ON l_orderkey = o_orderkey),
     head_lines AS (SELECT o_orderkey AS doc_id, {d["each"].format(head_lines)} AS entry FROM heads),
     raw_lines AS (
@@ -63,14 +67,15 @@ def ctes(dialect: dict[str, str]) -> str:
     model_answers AS (
         SELECT o_orderkey AS doc_id, 'v3' AS prompt_version,
                CASE WHEN o_orderkey % 5 = 0 THEN '```json' || chr(10) ELSE '' END
-               || '{{"vendor_name": "' || {vendor} || '", "invoice_number": "INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '", "invoice_date": '
+               || '{{"vendor_name": "' || {vendor} || '", "vendor_address": ' || CASE o_orderkey % 10 WHEN 3 THEN '"' || {address} || '"' WHEN 7 THEN '"PO box, ' || {address} || '"' ELSE 'null' END || ', "invoice_number": "INV' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '", "invoice_date": '
                || CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE '"' || {d["dmy"].format("o_orderdate")} || '"' END
                || ', "currency": "RM", "subtotal": ' || CASE WHEN o_orderkey % 4 = 1 THEN {total_plain} ELSE '"' || {total_plain} || '"' END || ', "total_amount": "' || {damaged} || '", "line_items": [' || coalesce(item_json, '') || ']'
                || CASE WHEN o_orderkey % 17 = 0 THEN ',' ELSE '' END || '}}'
                || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '```' ELSE '' END AS raw
         FROM heads LEFT JOIN sums ON l_orderkey = o_orderkey),
     labels_of AS (
-        SELECT o_orderkey AS doc_id, c_name AS company, {d["iso"].format("o_orderdate")} AS date_text, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {total_plain} END AS total FROM heads)"""
+        SELECT o_orderkey AS doc_id, c_name AS company, {d["iso"].format("o_orderdate")} AS date_text, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {total_plain} END AS total,
+               CASE WHEN o_orderkey % 10 = 1 THEN ' ' ELSE upper({address}) END AS address FROM heads)"""
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
