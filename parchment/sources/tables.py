@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-UNSET = "/tmp/checkpoints/parchment"  # tests and local runs only
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, which all executors see.
+
+    Where it is unset a run on one machine gets a temporary folder, which goes with the driver; a
+    cluster has no folder that could stand in for it, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="parchment-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the folder that `spark.checkpoint.dir` names, which all executors see.
+    """`df` as a Parquet table in the shared folder.
 
     Unlike cached blocks it survives lost executors, and later plans start at its scan.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or UNSET
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

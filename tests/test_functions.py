@@ -77,6 +77,20 @@ def test_partial_ratio_is_the_best_part(a, b):
     assert fuzzy.partial_ratio(a, b) == pytest.approx(best)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc é", min_size=1, max_size=9), st.lists(st.text("abcd é", min_size=9, max_size=30), min_size=1, max_size=5))
+def test_many_parts_at_once_are_the_best_parts(short, longs):
+    assert fuzzy.best_parts(short, longs).tolist() == pytest.approx([fuzzy.best_part(short, x) for x in longs])
+
+
+def test_longest_needles_and_nulls(spark):
+    needle = "".join(chr(97 + i * 7 % 26) for i in range(64))
+    rows = [(needle, "x" + needle[:60] + "yyyy" + needle), (needle, "z" * 80), (needle + "q", needle + "pq"), (None, "a"), ("abcd", None), ("abcd", "abxcd"), ("abcd", "abc"), ("abcd", "dcba")]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string, y string").coalesce(1).select(fuzzy.fuzzy_text_udf("x", "y")).collect()]
+    want = [None if x is None or y is None else round(fuzzy.partial_ratio(x, y) if len(y) >= len(x) else fuzzy.ratio(x, y), 1) for x, y in rows]
+    assert got == want
+
+
 def test_settings_from_environment():
     got = Settings.from_env(environ={"PARCHMENT_MAX_FILES": "3", "PARCHMENT_USE_FALLBACK": "no"})
     assert got.max_files == 3 and got.use_fallback is False and got.max_pages == Settings().max_pages

@@ -1,8 +1,9 @@
+import re
 import zipfile
 
 from pyspark.sql import functions as F
 
-from parchment.operators import export, fallback, match
+from parchment.operators import evaluate, export, fallback, match
 from parchment.operators.parse import clean_answers
 from parchment.plans.extract import extract
 
@@ -79,5 +80,61 @@ def test_resumed_run_leaves_saved_records_of_no_sample(spark, tmp_path, monkeypa
     monkeypatch.setattr(queries.evaluate, "resumed", lambda samples, done, fresh: kept.update(done=done, samples=samples) or resumed(samples, done, fresh))
     spark.range(1, 61).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     got = queries.resume_run(spark, str(tmp_path)).collect()
-    assert sorted((int(r["key"]), r["record"]) for r in got) == [(k, "fresh" if k % 4 else "saved") for k in range(2, 61, 2)]
-    assert kept["done"].join(kept["samples"], "key", "left_anti").count() == 6
+    assert sorted((int(r["key"]), r["record"]) for r in got) == [(k, "fresh" if k % 4 else "saved") for k in range(1, 61)]
+    assert kept["done"].join(kept["samples"], "key", "left_anti").count() == 60
+
+
+def test_json_numbers_and_item_shapes(spark):
+    """JSON numbers aren't texts; faults name the items, the first three; fences within strings stay."""
+    raws = [
+        '{"total_amount": 1234.567, "subtotal": 12.345, "tax": 1e7, "line_items": [{"quantity": 1.125, "unit_price": 1.5e10, "total": true}]}',
+        '{"vendor_name": "```json", "total_amount": "1.234", "tax": false, "subtotal": [5]}',
+        '{"total_amount": 5, "line_items": [1]}',
+        '{"line_items": [{"description": "a"}, null, "x", [], 7]}',
+        '```JSON\n{"total_amount": -0.5, "line_items": []}\n```',
+    ]
+    rows = clean_answers(answers(spark, *raws)).orderBy("doc_id").collect()
+    assert (rows[0]["total_amount"], rows[0]["subtotal"], rows[0]["tax"]) == (1234.567, 12.345, 1e7)
+    assert tuple(rows[0]["line_items"][0]) == (None, 1.125, 1.5e10, None)
+    assert rows[1]["vendor_name"] == "```json" and (rows[1]["total_amount"], rows[1]["tax"], rows[1]["subtotal"]) == (1234.0, None, None)
+    assert rows[2]["error"] == "JSON does not match the schema: line_items.0: must be an object" and rows[2]["total_amount"] is None and rows[2]["line_items"] is None
+    assert rows[3]["error"].endswith("line_items.1: must be an object; line_items.2: must be an object; line_items.3: must be an object")
+    assert rows[4]["total_amount"] == -0.5 and rows[4]["error"] is None
+
+
+def test_amounts_on_the_labels_row(spark):
+    """The right-most amount right of a label wins; left ones and other rows don't count."""
+
+    def line(no, text, x0, y0):
+        return (1, 0, no, text, (float(x0), float(y0), x0 + 50.0, y0 + 16.0, 0), 0.9)
+
+    rows = [line(0, "GRAND TOTAL", 100, 100), line(1, "3.00 left", 20, 100), line(2, "RM 5.00 b", 200, 102), line(3, "RM 7.00 c", 300, 98), line(4, "RM 9.00", 100, 160)]
+    lines = spark.createDataFrame(rows, f"doc_id long, page int, line_no int, text string, box {BOX}, confidence double")
+    found = fallback.find_total(lines).first()
+    assert found["total"] == 7.0 and found["text"] == "GRAND TOTAL RM 7.00 c" and (found["box"]["x0"], found["box"]["x1"]) == (100.0, 350.0)
+    assert fallback.find_total(lines.where("line_no NOT IN (1, 2, 3)")).first()["total"] == 9.0
+    assert fallback.find_total(lines.where("line_no NOT IN (2, 3, 4)")).count() == 0
+
+
+def plain_number_hits(fields, lines):
+    out = set()
+    for doc, field, value in fields:
+        for d, no, text in lines:
+            if d == doc and any(abs(abs(float(t.replace(",", ""))) - abs(value)) < 0.005 for t in re.findall(r"-?\d[\d.,]*", text)):
+                out.add((doc, field, no))
+    return out
+
+
+def test_numbers_meet_their_lines(spark):
+    values = [(1, "a", 12.344), (1, "b", 12.349), (1, "c", -7.0), (2, "d", 0.004), (2, "e", 1234.5)]
+    texts = [(1, 0, "12.35 and 12.34"), (1, 1, "7.00"), (1, 2, "none"), (2, 0, "0.00"), (2, 1, "1,234.50 x 1,234.50"), (2, 2, "-1234.5")]
+    fields = spark.createDataFrame([(d, None, f, "number", str(v), v, None) for d, f, v in values], "doc_id long, item_no int, field string, kind string, value string, value_num double, value_date date")
+    lines = spark.createDataFrame([(d, 0, no, t, (0.0, 20.0 * no, 9.0, 20.0 * no + 9, 0), 0.9) for d, no, t in texts], f"doc_id long, page int, line_no int, text string, box {BOX}, confidence double")
+    got = {(r["doc_id"], r["field"], r["start"]) for r in match.score_numbers(fields, lines).collect()}
+    assert got == plain_number_hits(values, texts)
+
+
+def test_sample_ranges(spark):
+    samples = spark.range(10, 60).withColumnRenamed("id", "key")
+    keys = lambda *a: sorted(r["key"] for r in evaluate.sample_range(samples, "key", *a).collect())
+    assert keys() == list(range(10, 60)) and keys(5) == list(range(15, 60)) and keys(5, 10) == list(range(15, 25)) and keys(0, 3) == [10, 11, 12] and keys(100) == []
