@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.sources.tables import written as shared_table  # noqa: F401  (the operators take it from here)
+
 SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -19,27 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/checkpoints/parchment"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
-
-    It cuts the lineage, so that later steps neither repeat the work above nor depend on
-    shuffle files of executors that may be lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keep_only(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
     """Rows of `docs` whose id is in `kept`, with exactly the columns of `docs`; a null id matches a null id."""
     flag = kept.select(F.col(id_col).alias("_kept_id"))
