@@ -143,6 +143,24 @@ def test_bpe_equals_the_library():
         assert ids == want.encode(t, add_special_tokens=False).ids and bpe.decode(ids).decode() == want.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_are_joined_and_equal_the_library(spark):
+    """Halves cut inside words, contractions, runs of spaces and characters; unsplit runs; the operator's digests."""
+    want, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(16)
+    words = ["the", "it's", "we'll", "don't", "12345", "  ", "\n\n", "日本語", "é", "😀😀", "!?", "   x", "\u00a0", "straße", "\t", "'s", "' s", "$%&"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "  "]) for _ in range(n)) for n in (3000, 5000, 9000, 20000)]
+    texts += ["a" * 30000, "ab" * 20000 + " " + "日本" * 9000, " " * 9000 + "x", "".join(rng.choice(["the", "ing", "er"]) for _ in range(9000)), "x" * 4096, "word " * 30000]
+    got = by_id(bpe_round_trip(docs_of(spark, texts)))
+    for i, ids in enumerate(want.encode_batch(texts, add_special_tokens=False)):
+        assert got[i]["n_tokens"] == len(ids.ids) and got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids.ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(want.decode(ids.ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (got[i]["n_joins"] > 0) == (len(texts[i]) > 4096)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").collect()
+    for leaf in (64, 700):
+        bpe = ByteBpe("byte_bpe_50k.tiktoken", "<|endoftext|>", 50256, leaf_chars=leaf)
+        for r, ids in zip(rows, want.encode_batch([r["text"] for r in rows], add_special_tokens=False)):
+            assert bpe.encode(r["text"]) == ids.ids
+
+
 def test_word_ids_equal_the_library():
     import pyarrow as pa
 
