@@ -416,7 +416,12 @@ class NgramJoin:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component, that with the smallest id: five words, a similarity of 0.8 or more."""
+    """`docs` with one document of each component, that with the smallest id: five words, a similarity of 0.8 or more.
+
+    Null and empty texts link with nothing and stay, unless they share an id with a dropped
+    row's component. Rows that share an id share its fate. Columns stay as they are, whatever
+    their names. An empty table gives an empty one.
+    """
     found = NgramJoin(docs, id_col, text_col, width, percent).components()
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return keep_only(docs, kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,12 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         return np.array([[1 if i == 0 or split >> (i - 1) & 1 else -1 for split in range(2 ** (n - 1) - 1)] for i in range(n)], float)
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(n)))
-    best, apart = None, -1
+    best, apart = np.zeros((0, bits)), -np.inf
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, bits))
-        nearest = min(int((a != b).sum()) for a, b in combinations(code, 2))
-        if nearest > apart and (np.abs(code.sum(0)) < n).all():
+        code[0, np.abs(code.sum(0)) == n] *= -1  # a bit that is equal for all tells nothing
+        nearest = ((bits - code @ code.T) / 2 + np.eye(n) * bits).min()
+        if nearest > apart:
             best, apart = code, nearest
     return best
 
@@ -102,8 +102,10 @@ class LanguageModel:
         return best, first, share.max(1) if share.shape[1] > 1 else np.zeros(len(share))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 2000, held_out_mod: int = 3, held_out_rest: int = 1) -> LanguageModel:
-    """Fit on about `sample_per_language` rows of each language (a documented bound) outside the held-out rows.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 2000, most_languages: int = 256, held_out_mod: int = 3, held_out_rest: int = 1) -> LanguageModel:
+    """Fit on about `sample_per_language` rows of each of the `most_languages` commonest languages outside the held-out rows.
+
+    Both are documented bounds: a column with more different values than that, most of them errors, costs no more.
 
     The sample takes rows by a hash of their id, at the rate bound / rows of the language. Its
     n-gram counts are summed by Spark; what comes to the driver is languages x SLOTS counts.
@@ -111,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     named = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc32(F.col("id")) % held_out_mod != held_out_rest))
-    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, SLOTS)))
@@ -179,7 +181,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`docs` without rows whose text has no language: `und`, or so ambiguous that two codewords are equally near."""
+    """`docs` without rows whose text has no language: `und`, or so ambiguous that two codewords are equally near.
+
+    Null and empty texts and those without a letter go; rows with the id of a kept row stay,
+    repeats included. Columns stay as they are, whatever their names. An empty table gives an empty one,
+    and so does one without any named language to learn from.
+    """
     found = identify(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
     return keep_only(docs, kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col)
