@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before kept.
+
+Every stage takes empty tables, null ids and texts, repeated rows and extra columns; all but
+the last return the columns they were given, in their order.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ from parchment.llm.secrets import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go, null, empty and letterless texts among them; all others stay as they are."""
     return reject_unknown(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts (white space aside) the smallest id stays; rows that share an id share its fate."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
+    """Of each group of near copies the smallest id stays; texts without words link with nothing and stay."""
     return drop_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become a mask; no document goes."""
+    """Secrets become a mask and n_chars follows; no document goes, and null or clean texts stay as they are."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences."""
+    """Token pieces of all documents, repeats included, and their places in sequences; a null or empty text is one id."""
     return pack(docs)
 
 
