@@ -11,6 +11,7 @@ from parchment.functions.dates import date_tokens, parse_date
 from parchment.functions.fuzzy import fuzzy_text_udf
 from parchment.functions.numbers import number_tokens, parse_number
 from parchment.functions.text import loose, whole_word
+from parchment.sources.tables import written
 from parchment.types import BOTTOM_FIELDS
 
 KEY = ("doc_id", "item_no", "field")
@@ -97,21 +98,26 @@ def score_currencies(fields: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.where(F.exists("names", printed)).drop("names", "plain").withColumn("score", F.lit(100.0))
 
 
-def score_texts(fields: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs of text fields and windows with their fuzzy score.
+def score_texts(fields: DataFrame, lines: DataFrame, most: int = DEFAULTS.window_lines) -> DataFrame:
+    """Pairs of text fields and windows of up to `most` lines with their score.
 
-    A field that some window contains word for word scores 100 there, which nothing beats, so only
-    fields without such a window reach the similarity function.
+    A line that has a field word for word scores 100, which no other window can beat, as smaller
+    ones come first. Windows are only made of documents with fields that no line has, and only
+    those fields reach the similarity function; texts under SHORT characters must stand as whole words.
     """
-    wanted = fields.withColumn("needle", loose(F.col("value"))).where("needle != ''")
-    shown = runs.withColumn("plain", loose(F.col("text"))).where("plain != ''")
-    pairs = wanted.join(shown, "doc_id")
+    wanted = fields.withColumn("needle", loose(F.col("value"))).where("needle != ''").withColumn("_item", F.coalesce("item_no", F.lit(-1)))
     short = F.length("needle") < SHORT
-    exact = pairs.where(F.when(short, whole_word(F.col("needle"), F.col("plain"))).otherwise(F.contains("plain", "needle"))).withColumn("score", F.lit(100.0))
-    found = exact.select("doc_id", F.coalesce("item_no", F.lit(-1)).alias("_item"), "field").distinct()
-    rest = wanted.where(~short).withColumn("_item", F.coalesce("item_no", F.lit(-1))).join(found, ["doc_id", "_item", "field"], "left_anti").drop("_item")
-    fuzzy = rest.join(shown, "doc_id").withColumn("score", fuzzy_text_udf("needle", "plain")).where("score > 0")
-    return exact.unionByName(fuzzy).drop("needle", "plain")
+    literal = F.when(short, whole_word(F.col("needle"), F.col("plain"))).otherwise(F.contains("plain", "needle"))
+
+    def normalised(runs: DataFrame) -> DataFrame:
+        return runs.withColumn("plain", loose(F.col("text"))).where("plain != ''")
+
+    exact = written(wanted.join(normalised(single(lines)), "doc_id").where(literal).withColumn("score", F.lit(100.0)), "literal")
+    rest = written(wanted.join(exact.select("doc_id", "_item", "field").distinct(), ["doc_id", "_item", "field"], "left_anti"), "unprinted")
+    shown = normalised(windows(lines.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), most))
+    words = rest.where(short).join(shown, "doc_id").where(literal).withColumn("score", F.lit(100.0))
+    fuzzy = rest.where(~short).join(shown, "doc_id").withColumn("score", fuzzy_text_udf("needle", "plain")).where("score > 0")
+    return exact.unionByName(words).unionByName(fuzzy).drop("needle", "plain", "_item")
 
 
 def best_window(pairs: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def match_fields(fields: DataFrame, lines: DataFrame, settings: Settings = DEFAU
     A quantity only counts on its item's row or next to it; without an anchor it is low.
     Shuffles go by doc_id; candidates never leave their document.
     """
-    texts = score_texts(fields.where("kind = 'text'"), windows(lines, settings.window_lines))
+    texts = score_texts(fields.where("kind = 'text'"), lines, settings.window_lines)
     best_texts = best_window(texts)
     top = fields.where("item_no IS NULL")
     anchors = results(fields.where("field = 'description'"), best_texts.where("field = 'description'"), settings).select("doc_id", "item_no", F.col("box").alias("anchor"))
