@@ -15,7 +15,10 @@ SIGNATURES = {".pdf": "25504446", ".png": "89504E470D0A1A0A", ".jpg": "FFD8FF",
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, suffix, length, head) of all files; only the first 16 bytes of content go on."""
+    """(file_name, suffix, length, head) of all files; only the first 16 bytes of content go on.
+
+    Spark's reader leaves files without content out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_extract("path", r"[^/]*$", 0)
     return files.select(name.alias("file_name"), suffix_of(name).alias("suffix"), "length", F.substring("content", 1, 16).alias("head"))
