@@ -1,4 +1,4 @@
-"""Document tables derived from the star schema, as one SQL text that Spark and DuckDB both run.
+"""For queries and tests: document tables derived from the star schema, as one SQL text that Spark and DuckDB both run.
 
 Each order becomes an invoice: OCR lines with boxes and pages, a model's JSON answer with
 seeded damage, and the undamaged labels. Amounts are written from whole cents, so both

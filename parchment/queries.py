@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment import derived as views
 from parchment.functions import geometry, text
 from parchment.functions.dates import parse_date
 from parchment.functions.numbers import parse_number
 from parchment.operators import evaluate, export, fallback, match
 from parchment.operators.parse import clean_answers
 from parchment.plans.extract import extract
-from parchment.sources import files, views
+from parchment.sources import files
 from parchment.sources.tables import written
 
 DUCK = views.ctes(views.DUCK)

@@ -1,5 +1,6 @@
 """Schemas of the canonical tables, as Spark DDL."""
 
+# The names and types of records, as they are exchanged.
 BOX = "struct<x0:double,y0:double,x1:double,y1:double,page:int>"
 LINE_ITEM = "struct<description:string,quantity:double,unit_price:double,total:double>"
 INVOICE = (
@@ -24,5 +25,5 @@ FIELD_LABELS = {
 ITEM_LABELS = {"description": "Description", "quantity": "Quantity", "unit_price": "Unit price", "total": "Line total"}
 NUMBER_FIELDS = ("subtotal", "tax", "total_amount")
 BOTTOM_FIELDS = ("subtotal", "tax", "total_amount")
-# Evaluation label -> field.
+# Evaluation label -> field.
 LABEL_FIELDS = {"company": "vendor_name", "date": "invoice_date", "address": "vendor_address", "total": "total_amount"}

@@ -11,6 +11,7 @@ from parchment.functions.dates import parse_date
 from parchment.functions.numbers import money_values, parse_number
 from parchment.sources import files
 
+# Texts and what they must give.
 NUMBERS = [
     ("1.234,56 €", 1234.56), ("1,234.56", 1234.56), ("12,50", 12.5), ("-3,00", -3.0), ("RM 9.00", 9.0), ("$8.20", 8.2), ("0.250", 0.25), ("7", 7.0),
     ("", None), ("EUR", None), (None, None), ("9.00.", 900.0), ("Fr. 9.00", 900.0), ("1,234.5,6", None), ("€ -3,00", 3.0), ("(3.00)", -3.0), ("5-", -5.0),
