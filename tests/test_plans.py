@@ -1,3 +1,4 @@
+import random
 import re
 import zipfile
 
@@ -138,3 +139,74 @@ def test_sample_ranges(spark):
     samples = spark.range(10, 60).withColumnRenamed("id", "key")
     keys = lambda *a: sorted(r["key"] for r in evaluate.sample_range(samples, "key", *a).collect())
     assert keys() == list(range(10, 60)) and keys(5) == list(range(15, 60)) and keys(5, 10) == list(range(15, 25)) and keys(0, 3) == [10, 11, 12] and keys(100) == []
+
+
+def plain_match(fields, lines):
+    """Texts and item numbers of small documents, by trying every window: {(doc, item, field): (confidence, score, text, box)}."""
+    from parchment.functions.fuzzy import partial_ratio, ratio
+
+    loose = lambda x: " ".join(x.split()).lower()
+    centre = lambda box: (box[1] + box[3]) / 2
+
+    def runs(doc):
+        for page in sorted({x[1] for x in lines if x[0] == doc}):
+            held = sorted((x for x in lines if x[0] == doc and x[1] == page), key=lambda x: x[2])
+            for i in range(len(held)):
+                for n in range(1, min(6, len(held) - i) + 1):
+                    part = held[i : i + n]
+                    boxes = [x[4] for x in part]
+                    box = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes), page)
+                    yield n, part[0][2], " ".join(x[3] for x in part), box
+
+    def score(needle, text):
+        if len(needle) < 4:
+            return 100.0 if re.search(rf"(?<![0-9a-z]){re.escape(needle)}(?![0-9a-z])", text) else 0.0
+        return 100.0 if needle in text else partial_ratio(needle, text) if len(text) >= len(needle) else ratio(needle, text)
+
+    def result(found):
+        s, text, box = max(found)[-1] if found else (0.0, None, None)
+        level = "high" if s >= 90 else "medium" if s >= 70 else "low"
+        return level, round(s, 1), text, None if level == "low" else box
+
+    out = {}
+    for doc, item, field, kind, value in fields:
+        if kind == "text":
+            found = [((round(s, 1), -n, -(1e6 * box[4] + centre(box)), -start), (round(s, 1), text, box)) for n, start, text, box in runs(doc) if (s := score(loose(value), loose(text))) > 0]
+            out[doc, item, field] = result(found)
+    for doc, item, field, kind, value in fields:
+        if kind == "number":
+            anchor, found = out[doc, item, "description"][3], []
+            for n, start, text, box in runs(doc):
+                if n > 1 or not any(abs(abs(float(t)) - abs(value)) < 0.005 for t in re.findall(r"\d+(?:\.\d+)?", text)):
+                    continue
+                near = anchor and anchor[4] == box[4] and abs(centre(anchor) - centre(box)) <= 3 * max(box[3] - box[1], anchor[3] - anchor[1], 1.0)
+                if field == "quantity" and not near:
+                    continue
+                away = -abs(centre(box) - centre(anchor)) - 1e6 * abs(box[4] - anchor[4]) if anchor else -(1e6 * box[4] + centre(box))
+                found.append(((100.0, -1, away, -start), (100.0, text, box)))
+            out[doc, item, field] = result(found)
+    return out
+
+
+def test_matching_is_brute_force(spark):
+    rng = random.Random(21)
+    words = ["blue", "pen", "acme", "store", "paper", "mill", "road", "no", "ltd", "box"]
+    lines, fields = [], []
+    for doc in range(14):
+        for no in range(rng.randrange(1, 12)):
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) + rng.choice(["", f" {rng.randrange(1, 6)} pcs {rng.randrange(1, 9)}.50"])
+            y = 20.0 * no
+            lines.append((doc, no // 5, no, text.upper() if no % 3 == 0 else text, (10.0 * (no % 2), y, 100.0 + len(text), y + 16, no // 5), 0.9))
+        damaged = lambda x: "".join(rng.choice("xyz") if rng.random() < 0.15 else c for c in x)
+        for item in (None, 0, 1):
+            name = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))
+            fields.append((doc, item, "description" if item is not None else "vendor_name", "text", damaged(name) if rng.random() < 0.6 else name))
+            if item is not None:
+                fields += [(doc, item, "quantity", "number", float(rng.randrange(1, 6))), (doc, item, "total", "number", rng.randrange(1, 9) + 0.5)]
+        fields.append((doc, None, "invoice_number", "text", rng.choice(["no", "ltd", "box 4"])))
+    rows = [(d, i, f, k, str(v), v if k == "number" else None, None) for d, i, f, k, v in fields]
+    frame = spark.createDataFrame(rows, "doc_id long, item_no int, field string, kind string, value string, value_num double, value_date date")
+    shown = spark.createDataFrame(lines, f"doc_id long, page int, line_no int, text string, box {BOX}, confidence double")
+    got = {(r["doc_id"], r["item_no"], r["field"]): (r["confidence"], r["match_score"], r["matched_text"], r["box"] and tuple(r["box"])) for r in match.match_fields(frame, shown).collect()}
+    want = plain_match(fields, lines)
+    assert {x[0] for x in want.values()} == {"high", "medium", "low"} and got == want
