@@ -2,6 +2,7 @@ import random
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from parchment.operators import evaluate, export, fallback, match
@@ -210,3 +211,20 @@ def test_matching_is_brute_force(spark):
     got = {(r["doc_id"], r["item_no"], r["field"]): (r["confidence"], r["match_score"], r["matched_text"], r["box"] and tuple(r["box"])) for r in match.match_fields(frame, shown).collect()}
     want = plain_match(fields, lines)
     assert {x[0] for x in want.values()} == {"high", "medium", "low"} and got == want
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_places_in_a_total_order(spark, parts):
+    from parchment.operators.order import numbered
+
+    rows = [(i % 7 if i % 11 else None, None if i % 5 == 0 else i % 3, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(parts)
+    nulls_first = lambda x: (x is not None, x or 0)
+    whole = numbered(df, "v", "id").collect()
+    assert [r.place for r in sorted(whole, key=lambda r: (nulls_first(r.v), r.id))] == list(range(200))
+    within = numbered(df, "v", "id", by=("g",)).collect()
+    for g in {r.g for r in within}:
+        assert [r.place for r in sorted((r for r in within if r.g == g), key=lambda r: (nulls_first(r.v), r.id))] == list(range(sum(r.g == g for r in within)))
+    tied = numbered(df, "v").collect()
+    assert sorted(r.place for r in tied) == list(range(200)) and [r.v for r in sorted(tied, key=lambda r: r.place)] == sorted((r.v for r in tied), key=nulls_first)
+    assert numbered(df.limit(0), "v").count() == 0
