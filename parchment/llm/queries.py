@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm import language_id, quality
+from parchment.llm.alignment import align_tokenizers
 from parchment.llm.bpe import bpe_round_trip
 from parchment.llm.chroma import align, sung
 from parchment.llm.common import documents, id_crc32
@@ -15,6 +16,8 @@ from parchment.llm.line_dedup import remove_boilerplate
 from parchment.llm.packing import pack
 from parchment.llm.secrets import scan_secrets
 from parchment.llm.sharding import interleaved_shards
+from parchment.llm.substrings import BlockAnchors
+from parchment.llm.trie import prefix_trie
 
 
 def held_out(mod: int, rest: int) -> F.Column:
@@ -69,9 +72,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole texts in windows of 50 that a document with a smaller id has as well are removed."""
+    return BlockAnchors(documents(spark, sf_dir), window=50).removed().drop("spans")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in both vocabularies; a pair's count is over all documents."""
+    return align_tokenizers(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for each distinct sequence of first turns of the rebuilt conversations."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node", "parent")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_ngram_jaccard, op3_chroma, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets)
+    for f in (
+        *(op1_language_id, op2_ngram_jaccard, op3_chroma, op4_quality, op5_bpe, op6_packing, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_secrets),
+        *(op11_substring_dedup, op12_tokenizer_alignment, op13_prefix_trie),
+    )
 }
 
 ORACLE_SQL = {
