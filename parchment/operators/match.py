@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parchment.config import DEFAULTS, Settings
 from parchment.functions import geometry
 from parchment.functions.dates import date_tokens, parse_date
-from parchment.functions.fuzzy import fuzzy_text_udf
 from parchment.functions.numbers import number_tokens, parse_number
+from parchment.functions.search import best_windows
 from parchment.functions.text import loose, whole_word
 from parchment.sources.tables import written
 from parchment.types import BOTTOM_FIELDS
@@ -98,12 +102,44 @@ def score_currencies(fields: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.where(F.exists("names", printed)).drop("names", "plain").withColumn("score", F.lit(100.0))
 
 
+def page_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, held, plain): the lines of each page in order, and their normalised texts."""
+    line = F.struct("line_no", "text", "box", loose(F.col("text")).alias("plain"))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(line)).alias("held"))  # one page's lines
+    return pages.select("doc_id", "page", "held", F.col("held")["plain"].alias("plain"))
+
+
+def search_pages(wanted: DataFrame, pages: DataFrame, most: int) -> DataFrame:
+    """The best window of each page for each text (`needle`): `wanted` with page, start, size, text, box, score.
+
+    Bounds spare most of the comparing (see `functions.search`); a page of a document gives one row a field, however
+    many windows it has.
+    """
+    rows = wanted.join(pages, "doc_id").withColumns({"tops": F.col("held")["box"]["y0"].cast("array<double>"), "bottoms": F.col("held")["box"]["y1"].cast("array<double>")})
+    kept = [x for x in rows.columns if x not in ("plain", "tops", "bottoms")]
+    schema = T.StructType([*(rows.schema[x] for x in kept), T.StructField("_at", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = best_windows(*(batch.column(x).to_pylist() for x in ("needle", "plain", "tops", "bottoms")), most)
+            some = pa.array([x is not None for x in found], pa.bool_())
+            held = [x for x in found if x is not None]
+            columns = [batch.column(x).filter(some) for x in kept]
+            columns += [pa.array([x[i] for x in held], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    best = rows.mapInArrow(run, schema)
+    window = F.slice("held", F.col("_at") + 1, F.col("size"))
+    shown = best.withColumns({"start": F.get("held", F.col("_at"))["line_no"], "text": F.array_join(window["text"], " "), "box": geometry.union_all(window["box"])})
+    return shown.drop("held", "_at")
+
+
 def score_texts(fields: DataFrame, lines: DataFrame, most: int = DEFAULTS.window_lines) -> DataFrame:
-    """Pairs of text fields and windows of up to `most` lines with their score.
+    """Pairs of text fields and windows of up to `most` lines with their score, the best of each page among them.
 
     A line that has a field word for word scores 100, which no other window can beat, as smaller
-    ones come first. Windows are only made of documents with fields that no line has, and only
-    those fields reach the similarity function; texts under SHORT characters must stand as whole words.
+    ones come first. Only fields that no line has are searched for in the pages of their documents;
+    texts under SHORT characters must stand as whole words.
     """
     wanted = fields.withColumn("needle", loose(F.col("value"))).where("needle != ''").withColumn("_item", F.coalesce("item_no", F.lit(-1)))
     short = F.length("needle") < SHORT
@@ -114,10 +150,11 @@ def score_texts(fields: DataFrame, lines: DataFrame, most: int = DEFAULTS.window
 
     exact = written(wanted.join(normalised(single(lines)), "doc_id").where(literal).withColumn("score", F.lit(100.0)), "literal")
     rest = written(wanted.join(exact.select("doc_id", "_item", "field").distinct(), ["doc_id", "_item", "field"], "left_anti"), "unprinted")
-    shown = normalised(windows(lines.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), most))
-    words = rest.where(short).join(shown, "doc_id").where(literal).withColumn("score", F.lit(100.0))
-    fuzzy = rest.where(~short).join(shown, "doc_id").withColumn("score", fuzzy_text_udf("needle", "plain")).where("score > 0")
-    return exact.unionByName(words).unionByName(fuzzy).drop("needle", "plain", "_item")
+    worded = rest.where(short)
+    shown = normalised(windows(lines.join(worded.select("doc_id").distinct(), "doc_id", "left_semi"), most))
+    words = worded.join(shown, "doc_id").where(literal).withColumn("score", F.lit(100.0))
+    searched = search_pages(rest.where(~short), page_lines(lines), most)
+    return exact.unionByName(words).drop("plain").unionByName(searched).drop("needle", "_item")
 
 
 def best_window(pairs: DataFrame) -> DataFrame:
