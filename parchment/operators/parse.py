@@ -13,6 +13,9 @@ from parchment.functions.numbers import parse_number
 from parchment.functions.text import clean_text, currency, let
 
 PROMPTS = ("v1", "v2", "v3")
+TEXTS = ("vendor_name", "vendor_address", "invoice_number", "invoice_date", "currency", "subtotal", "tax", "total_amount")
+ITEM_TEXTS = ("description", "quantity", "unit_price", "total")
+LENIENT = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
 
 
 def json_text(raw: Column) -> Column:
@@ -21,11 +24,33 @@ def json_text(raw: Column) -> Column:
     return F.when(found != "", found)
 
 
+def lenient_json(text: Column) -> Column:
+    """Variant of an object with repeated keys, of which the last counts, or with NaN and infinite numbers; null of anything else.
+
+    The strict reader takes neither. Only known fields are read; they may hold anything but an object with
+    repeated keys, and line items must be objects.
+    """
+    item = ", ".join(f"{x}: variant" for x in ITEM_TEXTS)
+
+    def read(items: str) -> Column:
+        fields = ", ".join(f"{x}: variant" for x in TEXTS)
+        # In brackets, so that anything after the object is an error.
+        return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{fields}, line_items: {items}>>", LENIENT)
+
+    given = F.substring(F.get(read("string"), F.lit(0))["line_items"], 1, 1)
+    listed, alone, none = (F.get(read(x), F.lit(0)) for x in (f"array<struct<{item}>>", f"struct<{item}>", "string"))
+    return (
+        F.when((given == "[") & listed["line_items"].isNotNull(), F.to_variant_object(listed))
+        .when((given == "{") & alone["line_items"].isNotNull(), F.to_variant_object(alone))
+        .when(given.isNull() & (F.size(read("string")) == 1), F.to_variant_object(none))
+    )
+
+
 def parsed_json(raw: Column) -> Column:
-    """Variant: strict first; if that fails, without trailing commas and with None as null."""
+    """Variant: strict first; if that fails, without trailing commas and with None as null; else with repeated keys and NaN."""
     text = json_text(raw)
     repaired = F.regexp_replace(F.regexp_replace(text, r",(\s*[}\]])", "$1"), r"(?<=[:\[,\s])None(?=\s*[,}\]])", "null")
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(repaired))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(repaired), lenient_json(text), lenient_json(repaired))
 
 
 def scalar(answer: Column, path: str) -> Column:

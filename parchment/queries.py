@@ -576,3 +576,37 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
     kept = files.first_pages(lines, Settings(max_pages=2)).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     return pages.join(kept, "doc_id").select("doc_id", "n_lines", prompt_prefix(F.col("n_pages")).alias("prefix"))
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, t AS (SELECT *, doc_id % 4 = 2 AS two FROM answered)
+    SELECT doc_id, CASE WHEN NOT two THEN total_amount END AS total_amount, doc_id % 5 = 1 AND NOT two AS tax_is_nan, CASE WHEN NOT two THEN n_items END AS n_items,
+           CASE WHEN two THEN 'no JSON object in the answer' END AS error FROM t"""
+)
+def lenient_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with repeated keys, of which the last counts, and NaN; two objects in one answer are none (JS2)."""
+    key, raw = F.col("doc_id"), F.col("raw")
+    repeated = F.replace(F.replace(raw, F.lit('{"vendor_name"'), F.lit('{"total_amount": "1.00", "vendor_name"')), F.lit('"line_items": [{'), F.lit('"line_items": [{"total": 9, '))
+    nan = F.when(key % 5 == 1, F.replace(repeated, F.lit('"currency": "RM", '), F.lit('"tax": NaN, "currency": "RM", '))).otherwise(repeated)
+    answers = views.model_answers(spark, sf_dir).withColumn("raw", F.when(key % 4 == 2, F.concat(nan, nan)).otherwise(nan))
+    found = clean_answers(answers, only=["total_amount", "tax", "line_items"])
+    return found.select("doc_id", "total_amount", F.coalesce(F.isnan("tax"), F.lit(False)).alias("tax_is_nan"), F.when(F.col("error").isNull(), F.size("line_items")).alias("n_items"), "error")
+
+
+@query(
+    f"""WITH {DUCK}, {ANSWERED}, p AS (SELECT o_orderkey AS doc_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders),
+    c AS (SELECT *, CASE WHEN doc_id % 41 = 0 THEN 415 WHEN doc_id % 41 = 1 THEN 400 WHEN doc_id % 43 = 2 THEN 500 WHEN doc_id % 37 = 0 THEN 422 END AS code FROM p JOIN answered USING (doc_id))
+    SELECT doc_id, place, CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 41 = 0 THEN '.txt' ELSE '.pdf' END AS file_name, CASE WHEN code IS NULL THEN 'ok' ELSE 'error' END AS status, code,
+           CASE code WHEN 415 THEN 'unsupported file type' WHEN 400 THEN 'empty file' WHEN 500 THEN 'the file was not processed' WHEN 422 THEN 'no JSON object in the answer' END AS error,
+           CASE WHEN code IS NULL THEN total_amount END AS total_amount FROM c"""
+)
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads in the order they came in, good and bad, each with its place (U1, S3, C9); orders stand for files, by date."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    key = F.col("doc_id")
+    suffix = F.when(key % 41 == 0, ".txt").otherwise(".pdf")
+    fault = files.upload_error(suffix, F.when(key % 41 == 1, 0).otherwise(100), F.encode(F.lit("%PDF-1.7"), "UTF-8"))
+    uploads = orders.withColumns({"file_name": F.concat(key.cast("string"), suffix), "fault": fault})
+    answers = views.model_answers(spark, sf_dir).where(key % 43 != 2).withColumn("raw", F.when(key % 37 == 0, "I can't read it.").otherwise(F.col("raw")))
+    documents = clean_answers(answers, only=["total_amount"]).select("doc_id", "error", "total_amount")
+    return export.outcomes(uploads, documents, "o_orderdate", "doc_id")

@@ -228,3 +228,72 @@ def test_places_in_a_total_order(spark, parts):
     tied = numbered(df, "v").collect()
     assert sorted(r.place for r in tied) == list(range(200)) and [r.v for r in sorted(tied, key=lambda r: r.place)] == sorted((r.v for r in tied), key=nulls_first)
     assert numbered(df.limit(0), "v").count() == 0
+
+
+def test_exact_medians_by_ranges(spark):
+    import statistics
+
+    from parchment.operators.order import medians
+
+    rng = random.Random(2)
+    groups = {"one": [3.5], "even": [1.0, 2.0], "equal": [7.0] * 40, "wide": [rng.choice([-1e300, 1e300, 0.0, 5e-324, 1.5]) for _ in range(101)], None: [rng.lognormvariate(0, 8) for _ in range(200)], "hot": [round(rng.gauss(5, 1), 2) for _ in range(1500)]}
+    rows = [(g, v) for g, held in groups.items() for v in held] + [("one", None), ("one", float("nan")), ("one", float("inf")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r["median"] for r in medians(df, "v", ("g",), buckets=4).collect()}
+    assert got == {g: statistics.median(held) for g, held in groups.items()}
+    every = [v for held in groups.values() for v in held]
+    assert medians(df, "v").collect()[0]["median"] == statistics.median(every)
+    assert medians(df.limit(0), "v").count() == 0
+
+
+def test_stats_of_runs_with_exact_medians(spark):
+    rows = [("a", 1.0, None), ("a", 2.0, None), ("a", 9.0, "broken"), ("b", 4.0, "broken"), (None, 3.0, None)]
+    records = spark.createDataFrame(rows, "run string, seconds double, error string")
+    got = {r.run: (r.documents, r.failed, r.avg_seconds, r.median_seconds) for r in evaluate.run_stats(records, "run").collect()}
+    assert got == {"a": (3, 1, 1.5, 1.5), "b": (1, 1, None, None), None: (1, 0, 3.0, 3.0)}
+    assert tuple(evaluate.run_stats(records).first()) == (5, 2, 2.0, 2.0)
+    assert tuple(evaluate.run_stats(records.limit(0)).first()) == (0, 0, None, None)
+
+
+def test_sample_ranges_with_ties_and_far_offsets(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS key").repartition(7)
+    parts = [evaluate.sample_range(df, "key", o, n) for o, n in ((0, 500), (500, 300), (800, None))]
+    ids = [[r.id for r in x.collect()] for x in parts]
+    assert [len(x) for x in ids] == [500, 300, 200]
+    assert all("TakeOrdered" not in x._jdf.queryExecution().toString() for x in parts)
+    assert sorted(r.key for x in parts for r in x.collect()) == sorted(i % 3 for i in range(1000))
+    exact = evaluate.sample_range(df, "id", 500, 300)
+    assert sorted(r.id for r in exact.collect()) == list(range(500, 800)) and exact.columns == ["id", "key"]
+
+
+def test_answers_that_only_a_lenient_reader_takes(spark):
+    raws = [
+        '{"total_amount": 1, "total_amount": "2,50", "x": {"a": 1, "a": 2}}',
+        '{"tax": NaN, "subtotal": -Infinity, "line_items": [{"total": NaN, "description": "a", "description": "b"}]}',
+        '{"line_items": {"total": "1.234", "total": 7.125}, "vendor_name": "a", "vendor_name": "b",}',
+        '{"tax": 1, "tax": 2, "line_items": [3]}',
+        '{"tax": 1, "tax": 2} {"tax": 3}',
+        "{'tax': 1, 'tax': 2}",
+        '{"tax": 1, "tax": 2',
+        '{"tax": 1, "tax": None, "line_items": null}',
+    ]
+    rows = spark.createDataFrame([(i, "v3", x) for i, x in enumerate(raws)], "doc_id long, prompt_version string, raw string")
+    got = {r.doc_id: r for r in clean_answers(rows).collect()}
+    assert (got[0].total_amount, got[0].error, got[0].line_items) == (2.5, None, [])
+    assert got[1].tax != got[1].tax and got[1].subtotal == float("-inf") and got[1].line_items[0].description == "b" and got[1].line_items[0].total != got[1].line_items[0].total
+    assert (got[2].vendor_name, [x.total for x in got[2].line_items]) == ("b", [7.125])
+    assert [got[i].error for i in (3, 4, 5, 6)] == ["no JSON object in the answer"] * 4
+    assert (got[7].tax, got[7].line_items, got[7].error) == (None, [], None)
+
+
+def test_outcomes_keep_the_order_of_uploads(spark):
+    from parchment.operators import export
+
+    fault = "named_struct('code', 415, 'error', 'unsupported file type')"
+    uploads = spark.range(30).selectExpr("id AS doc_id", "concat('f', id, '.pdf') AS file_name", f"IF(id % 7 = 3, {fault}, NULL) AS fault", "id % 2 AS day").repartition(4)
+    documents = spark.range(28).selectExpr("id AS doc_id", "IF(id % 5 = 0, 'broken', NULL) AS error", "id * 2 AS n_pages")
+    got = sorted(export.outcomes(uploads, documents, "day", "doc_id").collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(30)) and [r.doc_id for r in got] == [*range(0, 30, 2), *range(1, 30, 2)]
+    by = {r.doc_id: (r.status, r.code, r.error, r.n_pages) for r in got}
+    assert by[10] == ("error", 415, "unsupported file type", None) and by[5] == ("error", 422, "broken", None)
+    assert by[29] == ("error", 500, "the file was not processed", None) and by[4] == ("ok", None, None, 8)
