@@ -12,6 +12,7 @@ from parchment.functions.numbers import parse_number
 from parchment.operators import evaluate, export, fallback, match
 from parchment.operators.parse import clean_answers
 from parchment.plans.extract import extract
+from parchment.sources import documents as sources
 from parchment.sources import files
 from parchment.sources.tables import written
 
@@ -610,3 +611,32 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = views.model_answers(spark, sf_dir).where(key % 43 != 2).withColumn("raw", F.when(key % 37 == 0, "I can't read it.").otherwise(F.col("raw")))
     documents = clean_answers(answers, only=["total_amount"]).select("doc_id", "error", "total_amount")
     return export.outcomes(uploads, documents, "o_orderdate", "doc_id")
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 6 AS kind, page_id % 9 AS pages, page_id % 8 + 1 AS turn, 1000 + page_id * 10 AS w, 500 AS h FROM pages),
+    s AS (SELECT *, CASE WHEN kind = 4 AND turn >= 5 THEN h ELSE w END AS x, CASE WHEN kind = 4 AND turn >= 5 THEN w ELSE h END AS y FROM p),
+    c AS (SELECT *, least(1.0, 1600.0 / greatest(x, y)) AS scale FROM s)
+    SELECT page_id, CAST(CASE WHEN kind = 0 AND pages > 0 THEN pages WHEN kind IN (3, 4) THEN 1 END AS INTEGER) AS n_pages, CAST(CASE WHEN kind = 0 AND pages > 0 THEN least(pages, 5) WHEN kind IN (3, 4) THEN 1 END AS INTEGER) AS n_used,
+           CASE WHEN kind IN (3, 4) THEN CAST(round(x * scale) AS INTEGER) END AS width, CASE WHEN kind IN (3, 4) THEN CAST(round(y * scale) AS INTEGER) END AS height,
+           CASE WHEN kind = 0 AND pages = 0 THEN 'the PDF has no pages' WHEN kind = 1 THEN 'the PDF has a password' WHEN kind = 2 THEN 'the PDF is broken' WHEN kind = 5 THEN 'the image is broken or cut off' END AS error FROM c"""
+)
+def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of PDFs and sizes of images from their bytes, with what is wrong (S1, S5, S6, S7); each row of pages makes a small file."""
+    key = F.col("page_id")
+    kind = key % 6
+
+    def number(x, digits: int):
+        return F.lpad(F.hex(x), digits, "0")
+
+    tree = F.concat(F.lit("%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Count "), (key % 9).cast("string"), F.lit(">>endobj trailer<</Root 1 0 R"))
+    pdf = F.when(kind == 0, F.concat(tree, F.lit(">>"))).when(kind == 1, F.concat(tree, F.lit("/Encrypt<</Filter/Other>>>>"))).otherwise(F.concat(F.lit("%PDF-1.7 "), F.col("html")))
+    width, height = 1000 + key * 10, F.lit(500)
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(width, 8), number(height, 8), F.lit("080200000000000000"), F.when(kind == 3, "0000000049454E44AE426082").otherwise(""))
+    exif = F.concat(F.lit("FFE1001E457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), number(key % 8 + 1, 4), F.lit("0000"))
+    jpeg = F.concat(F.lit("FFD8"), exif, F.lit("FFC0000808"), number(height, 4), number(width, 4), F.lit("00FFDA0002FFD9"))
+    content = F.when(kind <= 2, F.encode(pdf, "UTF-8")).when(kind == 4, F.unhex(jpeg)).otherwise(F.unhex(png))
+    made = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(kind <= 2, ".pdf").when(kind == 4, ".jpg").otherwise(".png").alias("suffix"), content.alias("content"))
+    nothing = F.lit(None).cast("string")
+    shown = made.select("page_id", "suffix", F.octet_length("content").alias("length"), F.substring("content", 1, 16).alias("head"), "content", nothing.alias("error_class"), nothing.alias("error"))
+    return sources.intake(shown).select("page_id", "n_pages", "n_used", "width", "height", F.col("fault")["error"].alias("error"))
