@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import mix, shared_table, slices
+from parchment.llm.common import shared_table, slices
 
 RATE = 2000  # Hz that all audio is brought to
 FRAME, HOP = 256, 64  # samples at RATE: 128 ms, and a new frame every 32 ms
@@ -21,7 +21,7 @@ CLASSES = 12
 SPAN = 8  # frames that a print looks at
 FILTERS = 16
 APART = 8  # prints between the three of a landmark
-SAMPLED = np.uint64(1)  # landmarks whose mixed key has these bits unset are kept, by queries and recordings alike
+DISTINCT = 48  # prints from which on an overlap may have all the bit errors allowed
 STILL = 0.1  # differences below it count as none, so that a held note has one print
 SILENT = np.uint32(0x55555555)  # the print of frames without energy
 AUDIO_BYTES = 8 << 20
@@ -131,8 +131,7 @@ def landmarks(values: np.ndarray, weak: np.ndarray | None = None) -> tuple[np.nd
     """Keys of 48 bits and their places: the signs of the filters of three prints, APART from each other.
 
     A run of equal keys counts once, by its start; silence has none. With `weak`, the least certain
-    filter of each of the three prints is tried both ways: eight keys a place. Half of all keys
-    are kept, by their own bits, so that both sides keep the same.
+    filter of each of the three prints is tried both ways: eight keys a place.
     """
     signs = np.zeros(len(values), np.uint64)
     for k in range(FILTERS):
@@ -150,9 +149,12 @@ def landmarks(values: np.ndarray, weak: np.ndarray | None = None) -> tuple[np.nd
         for i in range(3):
             flip = np.uint64(1) << (weak[i * APART + at].astype(np.uint64) + np.uint64(16 * i))
             keys += [x ^ flip for x in keys]
-    found, places = np.concatenate(keys), np.tile(at, len(keys))
-    kept = mix(found) & SAMPLED == 0
-    return found[kept].view(np.int64), places[kept]
+    return np.concatenate(keys).view(np.int64), np.tile(at, len(keys))
+
+
+def allowed(n: int, most_error: float) -> float:
+    """Share of wrong bits that an overlap of n prints may have: fewer in a short one, which agrees by chance more easily."""
+    return most_error * min(1.0, 0.5 + n / (2 * DISTINCT))
 
 
 def longest(wrong: np.ndarray, limit: float) -> tuple[int, int]:
@@ -172,8 +174,8 @@ def compared(x: np.ndarray, y: np.ndarray, places: list[int], least_overlap: int
         if n < least_overlap:
             continue
         wrong = np.bitwise_count(x[a : a + n] ^ y[b : b + n])
-        near, size = (0, n) if wrong.sum() <= most_error * 32 * n else longest(wrong, most_error * 32)
-        if size >= least_overlap:
+        near, size = (0, n) if wrong.sum() <= allowed(n, most_error) * 32 * n else longest(wrong, most_error * 32)
+        if size >= least_overlap and wrong[near : near + size].sum() <= allowed(size, most_error) * 32 * size:
             found.append((place, n, float(wrong.mean() / 32), a + near, size, float(wrong[near : near + size].mean() / 32)))
     good = {x[0]: (-x[4], x[5]) for x in found}
     return [x for x in found if all((*good[x[0]], x[0]) <= (*good[p], p) for p in (x[0] - 1, x[0] + 1) if p in good)]
@@ -214,7 +216,7 @@ def marked(found: DataFrame, asked: bool) -> DataFrame:
     return found.select("rec_id", "prints", "weak").mapInArrow(run, f"key long, rec_id {kind}, at int")
 
 
-def align(recordings: DataFrame, queries: DataFrame | None = None, id_col: str = "rec_id", audio_col: str = "audio", query_mod: int = 20, least_overlap: int = 48, most_error: float = 0.2) -> DataFrame:
+def align(recordings: DataFrame, queries: DataFrame | None = None, id_col: str = "rec_id", audio_col: str = "audio", query_mod: int = 20, least_overlap: int = 16, most_error: float = 0.2) -> DataFrame:
     """Alignments of `queries` (same columns), or of recordings whose id is divisible by `query_mod`, with all recordings.
 
     Rows: kind 'member' (rec_id, class_id, n_prints) for every recording, class_id being the
@@ -225,7 +227,7 @@ def align(recordings: DataFrame, queries: DataFrame | None = None, id_col: str =
 
     Landmarks join queries with classes; each pair's histogram of offsets gives the places, and at
     all of them the prints are compared: a place passes by its bit errors over the overlap, or
-    else over its longest stretch of `least_overlap` prints or more. Of neighbouring places of
+    else over its longest stretch of `least_overlap` prints or more; the shorter it is, the fewer errors it may have. Of neighbouring places of
     a pair the better one stays. No candidate is dropped otherwise, however common its landmarks.
 
     Every recording is indexed; what is missed are overlaps without one equal landmark of

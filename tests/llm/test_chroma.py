@@ -5,6 +5,8 @@ import wave
 import numpy as np
 import pytest
 
+from parchment.llm import chroma as operator
+from parchment.llm import queries
 from parchment.llm.chroma import RATE, align, chroma, compared, fingerprints, landmarks, prints, samples, sung, wav
 
 CLASH = "rec_id long, audio binary, digest string, place int, run int"
@@ -136,3 +138,20 @@ def test_compared_keeps_the_better_of_neighbours():
     rng = np.random.default_rng(1)
     x = np.repeat(rng.integers(0, 1 << 32, 100, dtype=np.uint32), 3)
     assert [r[0] for r in compared(x, x[30:], [-31, -30, -29], 48, 0.4)] == [-30]
+
+
+def test_recall_of_the_query_by_length_over_all_its_queries(spark):
+    """Every taken excerpt of 16 prints (half a second) or more counts; shorter ones have no landmark."""
+    folder = "/root/testdata/sf0.1"
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").selectExpr("conv_id * 4096 + turn AS rec_id", "text")
+    sizes = {r.rec_id: r.n_prints for r in fingerprints(sung(turns.where("rec_id % 20 = 0"), "rec_id", "text", take=True)).collect()}
+    rows = queries.QUERIES["op3_chroma"](spark, folder).collect()
+    classes = {r.rec_id: r.class_id for r in rows if r.kind == "member"}
+    found = {r.rec_id for r in rows if r.kind == "match" and classes[r.rec_id] == r.class_id}
+    long, short = ({k for k, n in sizes.items() if n >= 24}, {k for k, n in sizes.items() if 16 <= n < 24})
+    assert len(found & (long | short)) >= 0.9 * len(long | short) and len(found & long) >= 0.95 * len(long)
+    assert sum(classes[r.rec_id] != r.class_id for r in rows if r.kind == "match") <= 0.05 * len(found)
+
+
+def test_short_overlaps_may_have_fewer_errors():
+    assert [round(operator.allowed(n, 0.2), 3) for n in (16, 32, 48, 500)] == [0.133, 0.167, 0.2, 0.2]
