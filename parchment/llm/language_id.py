@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import id_crc32, keep_only, row_sums, slices, text_bytes
+from parchment.llm.common import id_crc32, keep_only, row_sums, shared_table, slices, text_bytes
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -70,15 +72,24 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """Weights of one binary classifier for each bit, and the codewords that name languages."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5, reach: float = 48.0):
-        self.languages, self.reach = languages, reach
+    def __init__(self, languages: list[str], counts: np.ndarray | None = None, smoothing: float = 0.5, reach: float = 48.0):
+        self.languages, self.reach, self.smoothing = languages, reach, smoothing
         self.code = codewords(len(languages))
         self.weights = np.zeros((SLOTS, self.code.shape[1]), np.float32)
-        for bit in range(self.code.shape[1]):
-            one, zero = (counts[self.code[:, bit] == side].sum(0) + smoothing for side in (1, -1))
-            if (self.code[:, bit] == -1).any():
-                self.weights[:, bit] = np.log(one / one.sum()) - np.log(zero / zero.sum())
         self.trust = np.ones(self.code.shape[1])
+        if counts is not None:
+            self.learn((i, slot, counts[i, slot]) for i, slot in zip(*np.nonzero(counts), strict=True))
+
+    def learn(self, counts: Iterable[tuple[int, int, float]]) -> None:
+        """Weights of all bits from (language, slot, count), languages together; holds one language's counts at a time."""
+        one, zero = (np.full((SLOTS, self.code.shape[1]), self.smoothing) for _ in range(2))
+        for i, rows in groupby(counts, key=itemgetter(0)):
+            slots, held = np.array([x[1:] for x in rows], float).T
+            slots = slots.astype(int)
+            for side, total in ((1, one), (-1, zero)):
+                total[np.ix_(slots, self.code[i] == side)] += held[:, None]
+        told = (self.code == -1).any(0)
+        self.weights[:, told] = (np.log(one / one.sum(0)) - np.log(zero / zero.sum(0)))[:, told]
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Mean log odds per n-gram of each row and bit."""
@@ -102,38 +113,39 @@ class LanguageModel:
         return best, first, share.max(1) if share.shape[1] > 1 else np.zeros(len(share))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 2000, most_languages: int = 256, held_out_mod: int = 3, held_out_rest: int = 1) -> LanguageModel:
-    """Fit on about `sample_per_language` rows of each of the `most_languages` commonest languages outside the held-out rows.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 2000, held_out_mod: int = 3, held_out_rest: int = 1) -> LanguageModel:
+    """Fit on about `sample_per_language` rows of each language outside the held-out rows; there may be any number of languages.
 
-    Both are documented bounds: a column with more different values than that, most of them errors, costs no more.
-
-    The sample takes rows by a hash of their id, at the rate bound / rows of the language. Its
-    n-gram counts are summed by Spark; what comes to the driver is languages x SLOTS counts.
+    The sample, a documented bound, takes rows by a hash of their id, at the rate bound / rows of the language, which each
+    row gets by a join. Its n-gram counts are summed by Spark, as rows of the slots a language has; the driver takes them
+    language by language and keeps sums for each bit, of which there are ten times the logarithm of the languages.
     A second pass over the sample gives each bit a weight from the share of rows it gets right.
     """
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     named = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc32(F.col("id")) % held_out_mod != held_out_rest))
-    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    languages = sorted(sizes)
+    sizes = shared_table(named.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sorted(r["lang"] for r in sizes.select("lang").toLocalIterator())
     if not languages:
         return LanguageModel([], np.zeros((0, SLOTS)))
-    rates = F.create_map(*[F.lit(x) for lang in languages for x in (lang, sample_per_language / sizes[lang])])
-    sample = named.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20) < rates[F.col("lang")])
+    rate = sample_per_language / F.col("n")
+    sample = named.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20) < rate).select("text", "lang")
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(number) * SLOTS, np.int64)
         for batch in slices(batches, "text", SLICE):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            total = {i: np.zeros(SLOTS, np.int64) for i in set(lang.tolist())}
             for slots, rows in gram_slots(*text_bytes(batch.column("text"))):
-                total += np.bincount(lang[rows] * SLOTS + slots, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+                of = lang[rows]
+                for i, held in total.items():
+                    held += np.bincount(slots[of == i], minlength=SLOTS)
+            for i, held in total.items():
+                used = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(i * SLOTS + used), pa.array(held[used])], ["slot", "n"])
 
-    counts = np.zeros(len(languages) * SLOTS)
-    for r in sample.select("text", "lang").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["slot"]] = r["n"]
-    model = LanguageModel(languages, counts.reshape(-1, SLOTS))
+    model = LanguageModel(languages)
+    counts = sample.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy("slot")
+    model.learn((r["slot"] // SLOTS, r["slot"] % SLOTS, r["n"]) for r in counts.toLocalIterator())
 
     def right_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(model.code.shape[1]), 0
@@ -144,7 +156,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             n += len(margins)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(right)), pa.int32()), pa.array(right), pa.array([n] * len(right), pa.int64())], ["bit", "right", "n"])
 
-    seen = sample.select("text", "lang").mapInArrow(right_bits, "bit int, right double, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    seen = sample.mapInArrow(right_bits, "bit int, right double, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
     for r in seen.collect():
         share = min(max((r["right"] + 1) / (r["n"] + 2), 0.51), 0.999)
         model.trust[r["bit"]] = np.log(share / (1 - share))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -64,10 +65,46 @@ def test_mixed_texts_are_ambiguous(spark):
     assert far[901]["ambiguous"] and far[901]["score"] + far[901]["runner_up"] == pytest.approx(1)
 
 
-def test_only_the_commonest_languages_are_learned(spark):
-    rows = [(i, "alpha beta gamma", "xx") for i in range(30)] + [(100 + i, "ßig über", "yy") for i in range(20)] + [(200 + i, "typo", f"bad{i}") for i in range(40)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
-    assert model.languages == ["xx", "yy"]
+def test_an_even_mix_of_two_languages_is_ambiguous_at_the_production_gap(spark):
+    rng = random.Random(5)
+    words = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["ßig", "über", "ächt", "möge"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i, k in enumerate(["xx", "yy"] * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+
+    def margin(text):
+        return float(model.margins(*text_bytes(pa.array([text])))[0, 0])
+
+    texts, side = ["alpha"], margin("alpha") > 0
+    for _ in range(300):  # always a word of the language that is behind
+        texts.append(texts[-1] + " " + rng.choice(words["yy" if (margin(texts[-1]) > 0) == side else "xx"]))
+    even = min(texts, key=lambda x: abs(margin(x)))
+    mixes = spark.createDataFrame([(901, even, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs.union(mixes), model).collect()}
+    assert [k for k, r in got.items() if r["ambiguous"]] == [901]
+    assert abs(got[901]["score"] - got[901]["runner_up"]) < 0.1
+
+
+def test_any_number_of_languages_is_learned(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03d}": ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(12)] for i in range(300)}
+    rows = [(1000 * n + i, " ".join(rng.choice(held) for _ in range(25)), lang) for n, (lang, held) in enumerate(words.items()) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == sorted(words)
+    truth = {i: lang for i, _, lang in rows}
+    out = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i] == truth[i] for i in out) >= 0.95 * len(out) > 500
+
+
+def test_counts_learned_language_by_language_are_the_plain_sums():
+    counts = np.random.default_rng(1).integers(0, 3, (7, language_id.SLOTS)).astype(float)
+    model = language_id.LanguageModel(list("abcdefg"), counts)
+    for bit in (0, 3, model.code.shape[1] - 1):
+        one, zero = (counts[model.code[:, bit] == side].sum(0) + 0.5 for side in (1, -1))
+        assert np.allclose(model.weights[:, bit], np.log(one / one.sum()) - np.log(zero / zero.sum()), atol=1e-5)
 
 
 def plain_ftrl(examples, passes, alpha, beta, l1, l2):
