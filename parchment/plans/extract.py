@@ -14,14 +14,17 @@ from parchment.sources.tables import written
 from parchment.types import FIELD_LABELS
 
 
-def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS, second: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS, second: DataFrame | None = None, ocr_errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, fields) of all answers; a document that fails is a row with an error and has no fields.
 
     documents: doc_id, error, n_pages, n_lines, warnings; fields: one row per field, repaired.
-    A document without OCR lines keeps its values at low confidence, without a warning for them.
+    A document without OCR lines keeps its values at low confidence, without a warning for them. `ocr_errors`
+    (doc_id, ocr_error) has documents whose OCR failed: they have no lines, and a warning after that on truncation.
     """
     invoices = written(clean_answers(answers, second), "invoices")
     lines = written(lines.select("doc_id", "page", "line_no", "text", "box", "confidence"), "lines")
+    if ocr_errors is not None:
+        lines = lines.join(ocr_errors.select("doc_id"), "doc_id", "left_anti")
     good = invoices.where("error IS NULL")
     used = lines.where((F.col("page") < settings.max_pages) & (F.col("confidence") >= settings.min_ocr_confidence))
     fields = apply_fallback(match_fields(long_fields(good), used, settings), used, settings)
@@ -34,8 +37,12 @@ def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS,
         F.array_sort(F.collect_list(F.when(F.col("confidence") == "low", F.struct(at.alias("at"), F.element_at(label, F.col("field")).alias("text"))))).alias("low"),
     )
     rows = invoices.select("doc_id", "error").join(pages, "doc_id", "left").join(top, "doc_id", "left")
+    unread = F.lit(None).cast("string")
+    if ocr_errors is not None:
+        rows = rows.join(ocr_errors.select("doc_id", "ocr_error"), "doc_id", "left")
+        unread = F.concat(F.lit("OCR failed, so no confidence could be checked: "), F.col("ocr_error"))
     low = F.when((F.size("low") > 0) & (F.coalesce("n_lines", F.lit(0)) > 0), F.concat(F.lit("Not found on the document: "), F.array_join(F.col("low")["text"], ", ")))
-    warnings = F.array_compact(F.concat(F.array(truncation_warning(F.col("n_pages"), settings)), F.coalesce(F.col("said")["text"], F.array().cast("array<string>")), F.array(low)))
+    warnings = F.array_compact(F.concat(F.array(truncation_warning(F.col("n_pages"), settings), unread), F.coalesce(F.col("said")["text"], F.array().cast("array<string>")), F.array(low)))
     documents = rows.select("doc_id", "error", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), warnings.alias("warnings"))
     return documents, fields
 
