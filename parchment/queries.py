@@ -640,3 +640,20 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     shown = made.select("page_id", "suffix", F.octet_length("content").alias("length"), F.substring("content", 1, 16).alias("head"), "content", nothing.alias("error_class"), nothing.alias("error"))
     return sources.intake(shown).select("page_id", "n_pages", "n_used", "width", "height", F.col("fault")["error"].alias("error"))
+
+
+@query(
+    f"""WITH {DUCK}, {TOKENS},
+    i AS (SELECT l_orderkey AS doc_id, item_no - 1 AS item_no, p_name, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS quantity, CASE l_orderkey % 3 WHEN 0 THEN CAST(l_quantity AS INT) + 0.125 WHEN 1 THEN CAST(l_quantity AS INT) * 1000.0 END AS unit_price, CAST(replace(price, ',', '') AS DOUBLE) AS total FROM items),
+    d AS (SELECT i.doc_id, item_no, arg_min(struct_pack(page := l.box.page, center := (l.box.y0 + l.box.y1) / 2, text := l.text), [l.box.page * 1000000 + (l.box.y0 + l.box.y1) / 2, l.line_no]) AS a FROM i JOIN ocr_lines l ON l.doc_id = i.doc_id AND contains(lower(l.text), lower(p_name)) GROUP BY ALL),
+    v AS (SELECT doc_id, item_no, 'quantity' AS field, quantity AS v FROM i UNION ALL SELECT doc_id, item_no, 'unit_price', unit_price FROM i UNION ALL SELECT doc_id, item_no, 'total', total FROM i),
+    h AS (SELECT v.doc_id, v.item_no, field, p.text, p.line_no, abs((p.box.y0 + p.box.y1) / 2 - a.center) AS away, abs(p.box.page - a.page) AS pages FROM v JOIN d ON d.doc_id = v.doc_id AND d.item_no = v.item_no JOIN printed p ON p.doc_id = v.doc_id AND abs(abs(p.number) - v.v) < 0.005),
+    b AS (SELECT doc_id, item_no, field, arg_min(text, [away + 1000000 * pages, line_no]) AS text FROM h WHERE field <> 'quantity' OR pages = 0 AND away <= 48 GROUP BY ALL)
+    SELECT v.doc_id, CAST(v.item_no AS INTEGER) AS item_no, v.field, v AS value_num, CASE WHEN v IS NULL THEN NULL WHEN b.text IS NULL THEN 'low' ELSE 'high' END AS confidence, b.text AS matched_text FROM v LEFT JOIN b ON b.doc_id = v.doc_id AND b.item_no = v.item_no AND b.field = v.field
+    UNION ALL SELECT doc_id, CAST(item_no AS INTEGER), 'description', NULL, 'high', a.text FROM d"""
+)
+def anchored_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items found on their documents: descriptions first, then the numbers nearest to them; quantities only beside them."""
+    fields = match.long_fields(clean(spark, sf_dir)).where("item_no IS NOT NULL")
+    found = match.match_fields(fields, lines_of(spark, sf_dir))
+    return found.select("doc_id", "item_no", "field", "value_num", "confidence", "matched_text")
