@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm.common import INVERSE, MULTIPLIER, byte_codes, mix, powers, shared_table, slices, span_hashes, text_bytes
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 PER_BUCKET = 1 << 21  # words whose windows meet in one group, on average
 NO_ID = np.iinfo(np.int64).max
 CODES = byte_codes(41)
