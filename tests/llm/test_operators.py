@@ -307,6 +307,16 @@ def test_lines_on_many_sites_go(spark):
     assert got[14]["clean_text"] is None and got[15]["clean_text"] == "" and got[14]["n_lines"] == 0
 
 
+def test_common_lines_are_dealt_out_where_they_are_too_many_to_broadcast(spark):
+    texts = [f"own line {i}\n" + "\n".join(f"notice {k}" for k in range(5) if i % (k + 1) == 0) for i in range(60)]
+    docs = docs_of(spark, [*texts, "notice 0\nmine", None], [*(f"site{i % 30}" for i in range(60)), None, None])
+    plain, salted = remove_boilerplate(docs), remove_boilerplate(docs, most_broadcast=0, rows_a_salt=7)
+    assert by_id(plain) == by_id(salted) and by_id(salted)[60]["clean_text"] == "mine"
+    common = [k for k in range(5) if len({i % 30 for i in range(60) if i % (k + 1) == 0}) >= 10]
+    assert [by_id(salted)[i]["n_removed"] for i in range(60)] == [sum(i % (k + 1) == 0 for k in common) for i in range(60)]
+    assert "salt" in salted._jdf.queryExecution().toString() and "salt" not in plain._jdf.queryExecution().toString()
+
+
 def test_language_and_quality(spark):
     rng = random.Random(3)
     words = {"xx": ["alpha", "beta", "gamma"], "yy": ["ßig", "über", "ächt"], "zz": ["qui", "que", "ça"]}
