@@ -57,7 +57,7 @@ def remove_boilerplate(
         common = lines.join(F.broadcast(boilerplate.select("h")), "h")
     else:
         salts = -(-most // rows_a_salt)
-        salted = boilerplate.select("h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+        salted = boilerplate.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         common = dealt.join(salted, ["h", "salt"])
     marked = common.groupBy("doc_id").agg(F.collect_set("h").alias("bad")).select(F.col("doc_id").alias("bad_id"), "bad")
