@@ -11,6 +11,17 @@ from parchment.functions.text import collapse, let
 DATE_TOKEN = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}\s+[A-Za-z]{3,9}\.?\s+\d{2,4}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4}"
 TRAILING_TIME = r"(?iU)[\sT,]+\d{1,2}[:.]\d{2}(?:[:.]\d{2})?\s*(?:[ap]\.?m\.?|hrs?|h)?\s*$"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+# (pattern, group of the year, of the month, of the day, whether the month is a name), in the order they are tried;
+# the patterns exclude each other but for the last.
+FORMATS = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3, False),
+    (r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$", 4, 3, 1, False),
+    (r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$", 1, 3, 4, False),
+    (r"^(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})$", 3, 2, 1, True),
+    (r"^([A-Za-z]+) (\d{1,2}), (\d{4})$", 3, 1, 2, True),
+    (r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$", 1, 2, 3, False),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", 3, 1, 2, False),
+)
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
@@ -27,33 +38,13 @@ def month_number(name: Column) -> Column:
 
 
 def by_format(text: Column) -> Column:
-    """The date that the first fitting format reads; the formats' patterns exclude each other but for the last."""
-
-    def parts(pattern: str, *order: int) -> list[Column]:
-        return [F.regexp_extract(text, pattern, i) for i in order]
-
-    def gated(pattern: str, value: Column) -> Column:
-        return F.when(text.rlike(pattern), value)
-
-    iso, dmy = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$"
-    ymd = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
-    named, named_first = r"^(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})$", r"^([A-Za-z]+) (\d{1,2}), (\d{4})$"
-    solid = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
-    us = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
-
-    def month_name(pattern: str, year: int, month: int, day: int) -> Column:
-        y, m, d = parts(pattern, year, month, day)
-        return gated(pattern, day_of(y, month_number(m), d))
-
-    return F.coalesce(
-        gated(iso, day_of(*parts(iso, 1, 2, 3))),
-        gated(dmy, day_of(*parts(dmy, 4, 3, 1))),
-        gated(ymd, day_of(*parts(ymd, 1, 3, 4))),
-        month_name(named, 3, 2, 1),
-        month_name(named_first, 3, 1, 2),
-        gated(solid, day_of(*parts(solid, 1, 2, 3))),
-        gated(us, day_of(*parts(us, 3, 1, 2))),
-    )
+    """The date that the first fitting format reads."""
+
+    def reading(pattern: str, year: int, month: int, day: int, named: bool) -> Column:
+        y, m, d = (F.regexp_extract(text, pattern, i) for i in (year, month, day))
+        return F.when(text.rlike(pattern), day_of(y, month_number(m) if named else m, d))
+
+    return F.coalesce(*(reading(*x) for x in FORMATS))
 
 
 def parse_date(text: Column) -> Column:
