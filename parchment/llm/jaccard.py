@@ -19,6 +19,9 @@ SKETCH_WORDS = 8
 FILTER_WORDS = 1 << 20
 BLOCK_KEYS = 1 << 19
 CROWD = 8  # nodes at a key from which on it has hubs
+OUTSIDE = 64  # nodes outside a group's largest component from which on the group gets finer keys
+FINE_SEED = 62
+COUNTER_BITS = 18
 PAIRS_PER_PART = 256
 CODES = byte_codes(29)
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -115,13 +118,41 @@ class Bands:
                 seed += 1
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def segment_keys(self, code: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, seed: int):
+    @cached_property
+    def fine(self) -> np.ndarray:
+        return np.maximum(64, 3 * self.allowed)
+
+    def fine_keys(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of finer segments of all rows, their row and band, and how many of a row's keys a link can't do without.
+
+        Linked sets differ in at most k segments, so each has at most k keys that the other lacks.
+        In any order of all keys, the first one in common is among the first k + 1 of both. Sets with
+        no more than k keys might have none in common; these share one key more. In a band without a
+        difference distinct sets don't link, and have no keys.
+        """
+        sizes = np.diff(at)
+        own, next_up = self.of(sizes)
+        found = []
+        for band, rows in ((own, np.flatnonzero(sizes > 0)), (next_up, np.flatnonzero((sizes > 0) & (next_up != own)))):
+            rows = rows[self.allowed[band[rows]] > 0]
+            if not len(rows):
+                continue
+            key, owner, lacking = self.segment_keys(code, at, rows, band[rows], FINE_SEED, self.fine)
+            few = rows[self.fine[band[rows]] - lacking <= self.allowed[band[rows]]]
+            key = np.concatenate([key, mix(band[few].astype(np.uint64) + np.uint64(101))])
+            owner = np.concatenate([owner, few])
+            found.append((key, owner, band[owner], self.allowed[band[owner]] + 1))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none.view(np.uint64), none, none, none)
+
+    def segment_keys(self, code: np.ndarray, at: np.ndarray, rows: np.ndarray, band: np.ndarray, seed: int, segments: np.ndarray | None = None):
+        segments = self.segments if segments is None else segments
         sizes = at[rows + 1] - at[rows]
         till = np.cumsum(sizes)
         which = np.repeat(np.arange(len(rows)), sizes)
         members = code[np.repeat(at[rows] - till + sizes, sizes) + np.arange(till[-1])]
         place = members if not seed else mix(members ^ np.uint64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        segment = ((place >> np.uint64(32)) * self.segments[band][which].astype(np.uint64)) >> np.uint64(32)
+        segment = ((place >> np.uint64(32)) * segments[band][which].astype(np.uint64)) >> np.uint64(32)
         if seed:
             order = np.lexsort((segment, which))
             members, segment, which = members[order], segment[order], which[order]
@@ -132,7 +163,7 @@ class Bands:
         owner, segment = which[starts], segment[starts]
         held = words != 0
         words, owner, segment = words[held], owner[held], segment[held]
-        lacking = self.segments[band] - np.bincount(owner, minlength=len(rows))
+        lacking = segments[band] - np.bincount(owner, minlength=len(rows))
         salt = (segment * np.uint64(64) + np.uint64(min(seed, 63))) * np.uint64(128) + band[owner].astype(np.uint64)
         return mix(words ^ mix(salt + np.uint64(11))), rows[owner], lacking
 
@@ -190,14 +221,16 @@ class NgramJoin:
     3. What is left are pairs with an equal segment across components. Keys with several
        components go into groups by their hub, or by their first node where there is no crowd,
        so that two nodes with many common keys meet once. In each group, nodes outside its
-       largest component are joined with all others. Sizes and sketches decide within the join,
-       wide sketches after it, and what passes is verified. Only pairs near the limit are ever
-       rows; Spark splits a large group's join by its two sides (adaptive skew join).
+       largest component are joined with all others. Where these are many, as with a passage that
+       unlike texts share, the group's nodes get finer segments, and meet by the rarest of them
+       only: of k differences, k + 1 keys (see `Bands.fine_keys`). Sizes and sketches decide within
+       the join, wide sketches after it, and what passes is verified. Only pairs near the limit are
+       ever rows; Spark splits a large group's join by its two sides (adaptive skew join).
     4. Verification recomputes whole sets, of nodes that a filter of a fixed 8 MB lets through.
        A node with many partners, such as a hub, is dealt out with a part of them each.
 
-    Every linked pair has an equal segment with members (see `Bands`), so it is verified or
-    within a component already: components are exact, but for collisions of 64-bit hashes.
+    Every linked pair has an equal segment with members (see `Bands`), and one among its rarest finer
+    ones, so it is verified or within a component already: components are exact, but for collisions of 64-bit hashes.
 
     Null and empty texts and those of white space only have no shingles and link with nothing.
     Rows with one id are one document's. Other columns are ignored. An empty table gives no rows.
@@ -380,13 +413,81 @@ class NgramJoin:
         mixed = met.join(across, ["node", "first"], "left_semi").groupBy("key").agg(F.min("first").alias("first"))
         return mixed.join(hubs, "key", "left").select("key", F.coalesce("hub.node", "first").alias("grp"))
 
-    def across(self, members: DataFrame, groups: DataFrame, named: DataFrame, facts: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components with a common key, that size and sketch allow."""
-        held = members.join(groups, "key").select("grp", "node").distinct().join(named, "node", "left").join(facts, "node")
-        held = shared_table(held.select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "sketch"), "members")
-        main = held.groupBy("grp", "comp").agg(F.count("*").alias("held")).groupBy("grp").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
-        a = held.join(main, "grp").where("comp != main").toDF("grp", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "main")))
-        b = held.toDF("grp", *(f"{x}_b" for x in ("node", "comp", "n", "sketch")))
+    def rarest(self, wanted: DataFrame) -> DataFrame:
+        """(grp, node): the keys of finer segments that a link of the wanted nodes can't do without, the rarest ones of each.
+
+        How rare a key is comes from a table of 2**COUNTER_BITS counters by its leading bits, which has a
+        fixed size. Any order of keys gives all links; this one leaves out passages that many texts share,
+        if they fill less than about two thirds of the segments.
+        """
+        bands = self.bands
+        sets = shared_table(self.sets(wanted), "sets")
+
+        def counter(key: np.ndarray) -> np.ndarray:
+            return (key >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+        def fine(batches: Iterator[pa.RecordBatch]):
+            for batch in slices(batches, "members"):
+                data, at = text_bytes(batch.column("members"))
+                yield batch.column("node").to_numpy(), *bands.fine_keys(np.frombuffer(data.tobytes(), np.uint64), at // 8)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(1 << COUNTER_BITS, np.int64)
+            for _, key, *_ in fine(batches):
+                table += np.bincount(counter(key), minlength=len(table))
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+
+        counts = sets.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2**COUNTER_BITS rows at most
+        table = np.zeros(1 << COUNTER_BITS, np.int64)
+        table[counts["at"].to_numpy()] = counts["n"].to_numpy()
+        held = wanted.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for node, key, owner, band, needed in fine(batches):
+                order = np.lexsort((key, held.value[counter(key)], band, owner))
+                key, owner, band, needed = key[order], owner[order], band[order], needed[order]
+                first = np.ones(len(key), bool)
+                first[1:] = (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
+                place = np.arange(len(key))
+                keep = place - np.maximum.accumulate(np.where(first, place, 0)) < needed
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(node[owner[keep]])], ["grp", "node"])
+
+        return sets.mapInArrow(run, "grp long, node long").distinct()
+
+    def crowding(self, held: DataFrame) -> DataFrame:
+        """(grp, main, outside, total) of `held` (grp, node, comp): the largest component, nodes outside it, and all nodes."""
+        sizes = held.groupBy("grp", "comp").agg(F.count("*").alias("held"))
+        sizes = sizes.groupBy("grp").agg(F.max(F.struct("held", "comp")).alias("main"), F.sum("held").alias("total"))
+        return sizes.select("grp", "main.comp", (F.col("total") - F.col("main.held")).alias("outside"), "total").withColumnRenamed("comp", "main")
+
+    def met_again(self, members: DataFrame, groups: DataFrame, named: DataFrame) -> DataFrame:
+        """(grp, node, comp, main): what is to be compared, nodes outside a group's main component with all of the group.
+
+        Groups with more than OUTSIDE nodes outside of it give way to groups by the rarest finer keys of their nodes,
+        where these take fewer comparisons. Either way has every link.
+        """
+        held = members.join(groups, "key").select("grp", "node").distinct().join(named, "node", "left")
+        held = shared_table(held.select("grp", "node", F.coalesce("comp", "node").alias("comp")), "members")
+        sizes = shared_table(self.crowding(held).where("outside > 0"), "crowding")
+        large = sizes.where(F.col("outside") > OUTSIDE)
+        work = F.sum(F.col("outside").cast("double") * F.col("total"))
+        if large.isEmpty():
+            return held.join(sizes.select("grp", "main"), "grp")
+        wanted = held.join(large, "grp", "left_semi").select("node", "comp").distinct()
+        finer = shared_table(self.rarest(wanted.select("node")).join(wanted, "node").select("grp", "node", "comp"), "finer")
+        finer_sizes = shared_table(self.crowding(finer).where("outside > 0"), "crowding")
+        before, after = large.select(work.alias("work")).first()["work"], finer_sizes.select(work.alias("work")).first()["work"]
+        if (after or 0) >= before:
+            return held.join(sizes.select("grp", "main"), "grp")
+        small = sizes.where(F.col("outside") <= OUTSIDE)
+        return held.join(small.select("grp", "main"), "grp").union(finer.join(finer_sizes.select("grp", "main"), "grp"))
+
+    def across(self, met: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components of a group of `met`, that size and sketch allow."""
+        held = shared_table(met.select("grp", "node", "comp", "main").join(facts, "node").select("grp", "node", "comp", "n", "sketch", "main"), "members")
+        a = held.where("comp != main").toDF("grp", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "main")))
+        b = held.drop("main").toDF("grp", *(f"{x}_b" for x in ("node", "comp", "n", "sketch")))
         once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
         met = a.join(b, (a["grp"] == b["grp"]) & once & self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
         return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -404,7 +505,7 @@ class NgramJoin:
         links = shared_table(self.verified(shared_table(self.narrowed(best, info), "pairs")), "links")
         comps = components(links)
 
-        left = self.across(members, self.groups(met, crowds, comps), comps, facts)
+        left = self.across(self.met_again(members, self.groups(met, crowds, comps), comps), facts)
         more = shared_table(self.verified(shared_table(self.narrowed(left, info), "pairs")), "links")
         if not more.isEmpty():
             comps = components(links.union(more))

@@ -117,6 +117,52 @@ def test_one_passage_and_one_cluster_are_brute_force(spark):
     assert rows[0].count() <= 2 * len(texts) and rows[1].count() <= 10 * len(texts)  # not the square of either group
 
 
+def comparisons(spark, texts: list[str]) -> tuple[list, dict]:
+    """How many pairs the last join compares, at most, and the components."""
+    join, work = NgramJoin(docs_of(spark, texts)), []
+    across = join.across
+
+    def counted(met, facts):
+        work.append(join.crowding(met.drop("main")).selectExpr("sum(double(outside) * total) AS work").first()["work"] or 0.0)
+        return across(met, facts)
+
+    join.across = counted
+    return work, {r["doc_id"]: r["component_id"] for r in join.components().collect()}
+
+
+def test_a_passage_of_many_texts_costs_no_square(spark):
+    rng, done = random.Random(8), {}
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**9)) for _ in range(n)]
+    passage = fresh(60)
+    for n in (500, 2000, 8000):
+        texts = [" ".join(fresh(rng.randrange(40, 90)) + passage) for _ in range(n - 1)]
+        texts.append(texts[n // 2].rsplit(" ", 2)[0])  # a near copy among them
+        (work,), found = comparisons(spark, texts)
+        assert found == {i: i for i in range(n - 1)} | {n - 1: n // 2}
+        done[n] = work
+    assert max(work / n for n, work in done.items()) <= 64
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rarest_finer_keys_never_miss_a_pair(percent):
+    rng, bands, pairs = np.random.default_rng(2), Bands(percent), 0
+    rarity = rng.integers(0, 9, 1 << 12)
+    for _ in range(1500):
+        n = int(rng.integers(1, 150))
+        a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(1, 1 << 63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if len(b) and len(a) + len(b) > 2 * common and 100 * common >= percent * (len(a) + len(b) - common):
+            key, owner, band, needed = bands.fine_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            first = []
+            for row in (0, 1):
+                mine = [(rarity[k >> 52], k, j, m) for k, j, m, o in zip(key.tolist(), band.tolist(), needed.tolist(), owner.tolist()) if o == row]
+                first.append({k for j in {x[2] for x in mine} for _, k, _, m in sorted(x for x in mine if x[2] == j)[: max(x[3] for x in mine if x[2] == j)]})
+            assert first[0] & first[1]
+            pairs += 1
+    assert pairs > 200
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_segments_never_miss_a_pair(percent):
     rng, bands, pairs = np.random.default_rng(1), Bands(percent), 0
