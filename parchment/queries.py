@@ -473,6 +473,17 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.batch_status(rows, "batch")
 
 
+@query(
+    """WITH b AS (SELECT user_id AS batch, count(*) AS files, count(*) FILTER (WHERE event_id % 10 <> 0) AS done, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS spent FROM events GROUP BY 1),
+    t AS (SELECT batch, files, floor(spent * 10 + 0.5) / 10 AS seconds, CASE WHEN done > 1 THEN floor(spent / files * 10 + 0.5) / 10 END AS seconds_a_file FROM b)
+    SELECT *, CAST(CAST(seconds AS DECIMAL(20,1)) AS VARCHAR) || ' s' || coalesce(', about ' || CAST(CAST(seconds_a_file AS DECIMAL(20,1)) AS VARCHAR) || ' s a file', '') AS spent FROM t"""
+)
+def batch_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of each batch and of its files (A6); users stand for batches, events for files."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return export.batch_seconds(events.select(F.col("user_id").alias("batch"), F.when(F.col("event_id") % 10 == 0, "failed").alias("error"), F.col("value").alias("seconds")), "batch")
+
+
 @query(
     """SELECT o_custkey AS batch, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || '. order-' || o_orderkey || '.pdf' || CASE WHEN o_orderkey % 29 = 0 THEN ' (failed)' WHEN o_orderkey % 7 = 0 THEN ' (needs review)' ELSE '' END AS label FROM orders"""
 )

@@ -297,3 +297,15 @@ def test_outcomes_keep_the_order_of_uploads(spark):
     by = {r.doc_id: (r.status, r.code, r.error, r.n_pages) for r in got}
     assert by[10] == ("error", 415, "unsupported file type", None) and by[5] == ("error", 422, "broken", None)
     assert by[29] == ("error", 500, "the file was not processed", None) and by[4] == ("ok", None, None, 8)
+
+
+def test_seconds_of_a_batch(spark):
+    rows = [("a", None, 1.25), ("a", None, 2.0), ("a", "failed", None), ("b", None, 4.04), ("b", "failed", 1.0), ("c", "failed", None), (None, None, 0.0)]
+    got = export.batch_seconds(spark.createDataFrame(rows, "batch string, error string, seconds double"), "batch").collect()
+    assert {r["batch"]: (r["files"], r["seconds"], r["seconds_a_file"], r["spent"]) for r in got} == {
+        "a": (3, 3.3, 1.1, "3.3 s, about 1.1 s a file"),
+        "b": (2, 5.0, None, "5.0 s"),
+        "c": (1, 0.0, None, "0.0 s"),
+        None: (1, 0.0, None, "0.0 s"),
+    }
+    assert export.batch_seconds(spark.createDataFrame([], "batch string, error string, seconds double"), "batch").count() == 0
