@@ -108,7 +108,7 @@ def intake(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     rule; a PDF or image that can't be opened. It is what `export.outcomes` takes.
     """
     known = files.withColumnsRenamed({"error_class": "_class", "error": "_error"})
-    facts = media_facts(known)
+    facts = media_facts(known, most_pixels=settings.max_pixels)
     missing = F.when(F.col("_class").isNotNull(), F.struct(F.coalesce(http_code(F.col("_class")), F.lit(500)).alias("code"), F.col("_error").alias("error")))
     broken = F.when(F.col("error_class").isNotNull(), F.struct(http_code(F.col("error_class")).alias("code"), F.col("error").alias("error")))
     fault = F.coalesce(missing, upload_error(F.col("suffix"), F.col("length"), F.col("head"), settings), broken)
