@@ -5,7 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from parchment import queries as q
+from parchment.functions.dates import FORMATS, parse_date
+from parchment.operators import match
 
 TABLES = ("pages", "orders", "customer", "lineitem", "part")
 
@@ -27,3 +31,17 @@ def test_facts_of_files_with_large_keys(spark, tmp_path, first):
     spark.range(first, first + 60).selectExpr("id AS page_id", "'http://a/b' AS url", "'<p>x</p>' AS html").write.parquet(f"{tmp_path}/parts")
     duckdb.sql(f"COPY (FROM '{tmp_path}/parts/*.parquet') TO '{tmp_path}/pages.parquet'")
     assert rows(spark, tmp_path, "file_facts") == oracle(tmp_path, "file_facts")
+
+
+def test_dates_meet_lines_by_document_and_day(spark):
+    fields = spark.sql("SELECT 1L AS doc_id, CAST(NULL AS INT) AS item_no, 'invoice_date' AS field, 'date' AS kind, '' AS value, CAST(NULL AS DOUBLE) AS value_num, DATE'2024-03-05' AS value_date")
+    lines = spark.sql("SELECT 1L AS doc_id, 0 AS page, id AS line_no, text, named_struct('x0', 0D, 'y0', 0D, 'x1', 1D, 'y1', 1D, 'page', 0) AS box FROM VALUES (0, '05/03/2024 or 5 March 2024'), (1, '05/03/2023'), (2, 'none') AS t(id, text)")
+    pairs = match.score_dates(fields, lines)
+    assert [(x.start, x.score) for x in pairs.collect()] == [(0, 100.0)]
+    assert "exists(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_date_that_reads_is_read_once(spark):
+    """The formats stand in the plan once a reading, and only the one with the right kind of month is tried."""
+    plan = spark.range(1).select(parse_date(F.concat(F.lit("x"), F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and plan.count("rlike") <= 3 * (len(FORMATS) + 1)
