@@ -10,7 +10,7 @@ from parchment.operators.fallback import apply_fallback
 from parchment.operators.match import long_fields, match_fields
 from parchment.operators.parse import clean_answers
 from parchment.sources.files import truncation_warning
-from parchment.sources.tables import written
+from parchment.sources.tables import joined, written
 from parchment.types import FIELD_LABELS
 
 
@@ -36,7 +36,7 @@ def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS,
         F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct((-at).alias("at"), F.col("warning").alias("text"))))).alias("said"),
         F.array_sort(F.collect_list(F.when(F.col("confidence") == "low", F.struct(at.alias("at"), F.element_at(label, F.col("field")).alias("text"))))).alias("low"),
     )
-    rows = invoices.select("doc_id", "error").join(pages, "doc_id", "left").join(top, "doc_id", "left")
+    rows = joined(joined(invoices.select("doc_id", "error"), pages, "doc_id", "left"), top, "doc_id", "left")
     unread = F.lit(None).cast("string")
     if ocr_errors is not None:
         rows = rows.join(ocr_errors.select("doc_id", "ocr_error"), "doc_id", "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from parchment import queries as q
 from parchment.functions.dates import FORMATS, parse_date
-from parchment.operators import match
+from parchment.operators import fallback, match
+from parchment.sources.tables import written
 
 TABLES = ("pages", "orders", "customer", "lineitem", "part")
 
@@ -45,3 +46,13 @@ def test_a_date_that_reads_is_read_once(spark):
     """The formats stand in the plan once a reading, and only the one with the right kind of month is tried."""
     plan = spark.range(1).select(parse_date(F.concat(F.lit("x"), F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan and plan.count("rlike") <= 3 * (len(FORMATS) + 1)
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """Tables that grow with the documents aren't sent through the driver, however small their files look."""
+    fields = written(spark.sql("SELECT id AS doc_id, CAST(NULL AS INT) AS item_no, 'vendor_name' AS field, 'text' AS kind, 'abcdef' AS value, CAST(NULL AS DOUBLE) AS value_num, CAST(NULL AS DATE) AS value_date FROM range(50)"), "fields")
+    lines = written(spark.sql("SELECT id AS doc_id, 0 AS page, 0 AS line_no, 'abcdef' AS text, named_struct('x0', 0D, 'y0', 0D, 'x1', 1D, 'y1', 1D, 'page', 0) AS box FROM range(50)"), "lines")
+    found = match.match_fields(fields, lines)
+    assert found.where("confidence = 'high'").count() == 50
+    plan = fallback.apply_fallback(found, lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in plan
