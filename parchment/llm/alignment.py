@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ SLICE = 4 << 20
 BATCH = 1 << 20
 PIECE = 1 << 22  # id pairs whose counts are broadcast at once: 13 bytes each
 HELD_PAIRS = 1 << 20
+RUN = 64  # new units that are encoded as one text
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,18 +67,59 @@ class TwoTokenizers:
         self.right = np.zeros(0, bool)
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
-    def learn(self, units: list[bytes], hashes: np.ndarray) -> None:
+    def apart(self, units: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of units by themselves: ids of both sides end to end, how many each unit has, and whether both sides give it back."""
         texts = [x.decode("utf-8", "replace") for x in units]
         found = [[x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts], num_threads=1)]
         found[1] = [y if len(x) > 1 else self.space for x, y in zip(units, found[1], strict=True)]
         right = [b"".join(map(self.bytes_a.__getitem__, x)) == unit and b"".join(map(self.bytes_b.__getitem__, y)) == unit for unit, x, y in zip(units, *found, strict=True)]
-        count = np.array([[len(x) for x in side] for side in found], np.int64)
+        ids = [np.fromiter(chain.from_iterable(x), np.int32) for x in found]
+        return ids, np.array([[len(x) for x in side] for side in found], np.int64), np.array(right, bool)
+
+    def cut(self, side: int, ids: list[int], run: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a run of units and how many each unit has; None if they don't give the run back, or one goes beyond a unit's end."""
+        held, size = ((self.bytes_a, self.size_a), (self.bytes_b, self.size_b))[side]
+        if b"".join(map(held.__getitem__, ids)) != run:
+            return None
+        found = np.array(ids, np.int32)
+        till = np.cumsum(size[found])
+        at = np.searchsorted(till, ends, "right")
+        return (found, np.diff(at, prepend=0)) if (till[at - 1] == ends).all() else None
+
+    def learn(self, units: list[bytes], hashes: np.ndarray) -> None:
+        """Encode new units: those that end in printable ASCII in runs, as the next one begins with a space; the rest one by one."""
+        easy = np.array([self.cuts and 32 < x[-1] < 127 for x in units], bool)
+        hard, places = np.flatnonzero(~easy).tolist(), np.flatnonzero(easy).tolist()
+        runs = [places[i : i + RUN] for i in range(0, len(places), RUN)]
+        joined = [b"".join(map(units.__getitem__, x)) for x in runs]
+        texts = [x.decode("utf-8", "replace") for x in joined]
+        sides = [[x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts], num_threads=1)]
+        order, parts, counts, right = [], ([], []), ([], []), []
+        for run, text, *ids in zip(runs, joined, *sides, strict=True):
+            ends = np.cumsum([len(units[i]) for i in run])
+            found = [self.cut(side, x, text, ends) for side, x in enumerate(ids)]
+            if any(x is None for x in found):
+                hard += run
+                continue
+            order += run
+            right.append(np.ones(len(run), bool))
+            for side, (x, n) in enumerate(found):
+                parts[side].append(x)
+                counts[side].append(n)
+        if hard:
+            order += hard
+            ids, number, given = self.apart([units[i] for i in hard])
+            right.append(given)
+            for side in (0, 1):
+                parts[side].append(ids[side])
+                counts[side].append(number[side])
+        count = np.array([np.concatenate(x) for x in counts])
         first = np.cumsum(count, 1) - count + np.array([[len(x)] for x in self.ids])
-        self.ids = [np.concatenate([held, np.fromiter((i for x in side for i in x), np.int32, n)]) for held, side, n in zip(self.ids, found, count.sum(1).tolist(), strict=True)]
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.right = known[order], np.concatenate([self.right, np.array(right, bool)])[order]
-        self.first, self.count = np.concatenate([self.first, first], 1)[:, order], np.concatenate([self.count, count], 1)[:, order]
+        self.ids = [np.concatenate([held, *x]) for held, x in zip(self.ids, parts, strict=True)]
+        known = np.concatenate([self.known, hashes[order]])
+        by_hash = np.argsort(known, kind="stable")
+        self.known, self.right = known[by_hash], np.concatenate([self.right, *right])[by_hash]
+        self.first, self.count = np.concatenate([self.first, first], 1)[:, by_hash], np.concatenate([self.count, count], 1)[:, by_hash]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """Of rows of bytes that each begin with a space: which rows both sides give back, and for the units of those their row and (first, count) by side."""

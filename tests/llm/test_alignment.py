@@ -113,3 +113,31 @@ def test_table_of_units_is_emptied_and_filled_again():
         ids = both.ids[0][alignment.spread(first[0], count[0])].tolist()
         assert ids == both.a.encode(" " + text, add_special_tokens=False).ids and both.b.encode(text) == both.ids[1][alignment.spread(first[1], count[1])].tolist()
     assert two_tokenizers("byte_bpe_50k.json", "piece_bpe_32k.model").cuts
+
+
+def test_new_units_are_encoded_in_runs():
+    both, given = alignment.TwoTokenizers("byte_bpe_50k.json", "piece_bpe_32k.model"), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return self.of.encode_batch_fast(texts, **more)
+
+    words = [f" w{i}" for i in range(2000)] + ["  two", " don't", " x<|endoftext|>", " ü.", " <unk>x", " [UNK]!", " ▁a", " a▁b", " \t)", " ​z"]
+    odd = [" Straße\n", " ", "  ", " 日本語", " é", " a▁"]
+    units = [x.encode() for x in words + odd]
+    alone = both.apart(units)
+    both.a = Counted(both.a)
+    both.learn(units, np.arange(len(units), dtype=np.uint64))
+    assert len(given) < len(units) / 10
+    assert both.right.tolist() == alone[2].tolist()
+    for side in (0, 1):
+        ends = np.cumsum(alone[1][side])
+        one = [x.tolist() for x in np.split(alone[0][side], ends[:-1])]
+        assert [both.ids[side][a : a + n].tolist() for a, n in zip(both.first[side], both.count[side])] == one
+    only = alignment.TwoTokenizers("byte_bpe_50k.json", "piece_bpe_32k.model")
+    only.learn([x.encode() for x in odd], np.arange(len(odd), dtype=np.uint64))
+    assert only.right.tolist() == alone[2][len(words) :].tolist()
