@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchment import queries as q
-from parchment.functions.dates import FORMATS, parse_date
-from parchment.operators import fallback, match
+from parchment.functions.dates import FORMATS, date_tokens, may_hold_date, parse_date
+from parchment.operators import evaluate, export, fallback, match
 from parchment.sources.tables import written
 
 TABLES = ("pages", "orders", "customer", "lineitem", "part")
@@ -56,3 +56,43 @@ def test_written_tables_are_not_broadcast(spark):
     assert found.where("confidence = 'high'").count() == 50
     plan = fallback.apply_fallback(found, lines)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in plan
+
+
+def test_printed_numbers_are_parsed_once(spark):
+    """A token's parsing stands in the plan once, whatever filters the join adds."""
+    fields = spark.sql("SELECT 1L AS doc_id, CAST(NULL AS INT) AS item_no, 'total_amount' AS field, 'number' AS kind, '' AS value, -1234.5D AS value_num, CAST(NULL AS DATE) AS value_date")
+    lines = written(spark.sql("SELECT 1L AS doc_id, 0 AS page, id AS line_no, text, named_struct('x0', 0D, 'y0', 0D, 'x1', 1D, 'y1', 1D, 'page', 0) AS box FROM VALUES (0, '1,234.50 or 7'), (1, '1.234,50'), (2, 'none'), (3, '..')  AS t(id, text)"), "lines")
+    pairs = match.score_numbers(fields, lines)
+    assert sorted(x.start for x in pairs.collect()) == [0, 1]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("[0-9][0-9,]*") == 1
+
+
+def test_lines_without_dates_are_left_out_before_tokens(spark):
+    texts = ["Date: 05/03/2024", "5 March 24", "MAY 5, 2024 8:13 PM", "12 pcs 45,123.00", "1.234.567", "x 2024-1-5x", "20240305", "3.4", "Sept 5 2024", "7 fEb. 2020", "no"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_no int, text string")
+    held = lines.select("line_no", may_hold_date(F.col("text")).alias("may"), F.exists(F.transform(date_tokens(F.col("text")), parse_date), lambda day: day.isNotNull()).alias("has")).collect()
+    assert all(x.may or not x.has for x in held)
+    assert [x.line_no for x in held if x.has and x.may] == [x.line_no for x in held if x.has]
+    assert not held[3].may and not held[7].may and not held[10].may
+
+
+def test_only_the_needed_fields_are_typed(spark):
+    """Repaired totals and dates don't type line items or texts; labels of one kind keep the readings of that kind only."""
+    schema = []
+    original = q.written
+    q.written = lambda df, name: schema.append((name, df.columns)) or original(df, name)
+    try:
+        q.repaired(spark, "/root/testdata/sf0.001")
+    finally:
+        q.written = original
+    assert dict(schema)["invoices"] == ["doc_id", "invoice_date", "total_amount", "error", "n_attempts"]
+    labels = evaluate.label_rows(spark.sql("SELECT 1L AS doc_id, 'a' AS company"), {"company": "company"})
+    assert labels.collect()[0].asDict() == {"doc_id": 1, "label_field": "company", "field": "vendor_name", "label": "a"}
+
+
+def test_review_rows_and_items_are_not_broadcast(spark):
+    docs = written(spark.sql("SELECT id AS doc_id, '' AS file_name, CAST(NULL AS STRING) AS error, 1 AS n_pages, 1D AS seconds, array('x') AS warnings FROM range(50)"), "docs")
+    fields = written(spark.sql("SELECT id AS doc_id, CAST(NULL AS INT) AS item_no, 'total_amount' AS field, 'low' AS confidence FROM range(50)"), "fields")
+    items = written(spark.sql("SELECT id AS doc_id, array(named_struct('total', 1D)) AS line_items FROM range(50)"), "invoices")
+    for found in (export.review_rows(docs, fields), export.item_rows(docs, items)):
+        assert found.count() == 50 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
