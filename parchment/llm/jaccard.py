@@ -19,9 +19,11 @@ SKETCH_WORDS = 8
 FILTER_WORDS = 1 << 20
 BLOCK_KEYS = 1 << 19
 CROWD = 8  # nodes at a key from which on it has hubs
-OUTSIDE = 64  # nodes outside a group's largest component from which on the group gets finer keys
+OUTSIDE = 64  # nodes outside a group's largest component from which on the group is crowded
+COMPARED = 32  # comparisons a node, within which groups stay as they are
 FINE_SEED = 62
 COUNTER_BITS = 18
+COUNTER_BLOCK = 1 << 10
 PAIRS_PER_PART = 256
 CODES = byte_codes(29)
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -29,6 +31,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def compared() -> F.Column:
+    """Comparisons that groups of (outside, total) nodes cost."""
+    return F.sum(F.col("outside").cast("double") * F.col("total"))
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows end to end, and where each row's begin.
 
@@ -431,17 +438,27 @@ class NgramJoin:
                 data, at = text_bytes(batch.column("members"))
                 yield batch.column("node").to_numpy(), *bands.fine_keys(np.frombuffer(data.tobytes(), np.uint64), at // 8)
 
+        def blocks(at: np.ndarray, table: np.ndarray) -> dict:
+            return {"at": pa.array(at), "n": pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), COUNTER_BLOCK).cast(pa.list_(pa.int64()))}
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(1 << COUNTER_BITS, np.int64)
             for _, key, *_ in fine(batches):
                 table += np.bincount(counter(key), minlength=len(table))
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
+            table = table.reshape(-1, COUNTER_BLOCK)
+            at = np.flatnonzero(table.any(1))
+            yield pa.RecordBatch.from_pydict(blocks(at, table[at]))
 
-        counts = sets.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2**COUNTER_BITS rows at most
-        table = np.zeros(1 << COUNTER_BITS, np.int64)
-        table[counts["at"].to_numpy()] = counts["n"].to_numpy()
-        held = wanted.sparkSession.sparkContext.broadcast(table)
+        def total(tasks: pa.Table) -> pa.Table:
+            table = tasks.column("n").combine_chunks().flatten().to_numpy().reshape(-1, COUNTER_BLOCK)
+            return pa.table(blocks(tasks.column("at").to_numpy()[:1], table.sum(0)))
+
+        kind = "at long, n array<long>"
+        counts = sets.mapInArrow(count, kind).groupBy("at").applyInArrow(total, kind).toArrow()  # 2**COUNTER_BITS numbers at most
+        table = np.zeros(((1 << COUNTER_BITS) // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)
+        if counts.num_rows:
+            table[counts["at"].to_numpy()] = counts["n"].combine_chunks().flatten().to_numpy().reshape(-1, COUNTER_BLOCK)
+        held = wanted.sparkSession.sparkContext.broadcast(table.ravel())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for node, key, owner, band, needed in fine(batches):
@@ -461,26 +478,47 @@ class NgramJoin:
         sizes = sizes.groupBy("grp").agg(F.max(F.struct("held", "comp")).alias("main"), F.sum("held").alias("total"))
         return sizes.select("grp", "main.comp", (F.col("total") - F.col("main.held")).alias("outside"), "total").withColumnRenamed("comp", "main")
 
-    def met_again(self, members: DataFrame, groups: DataFrame, named: DataFrame) -> DataFrame:
+    def heavy(self, sizes: DataFrame, nodes: int) -> DataFrame:
+        """The crowded groups of `sizes` but for the smaller ones, which cost at most COMPARED comparisons for each of `nodes` together."""
+        scale = F.floor(F.log2("outside")).cast("int")
+        left, least = COMPARED * nodes, 64
+        for r in sorted(sizes.groupBy(scale.alias("scale")).agg(compared().alias("work")).collect()):  # 63 rows at most
+            left -= r["work"]
+            if left < 0:
+                least = r["scale"]
+                break
+        return sizes.where((F.col("outside") > OUTSIDE) & (scale >= least))
+
+    def by_hub(self, finer: DataFrame) -> DataFrame:
+        """`finer` (grp, node, comp) with crowded groups merged by their hub, the node in most of them: near copies meet once, not at each key."""
+        crowded = self.crowding(finer).where(F.col("outside") > OUTSIDE).select("grp")
+        held = shared_table(finer.join(crowded, "grp", "left_semi"), "crowds")
+        fame = held.groupBy("node").agg(F.count("*").alias("fame"))
+        hubs = held.join(fame, "node").groupBy("grp").agg(F.max(F.struct("fame", "node")).alias("hub")).select("grp", F.col("hub.node").alias("hub"))
+        return finer.join(hubs, "grp", "left").select(F.coalesce("hub", "grp").alias("grp"), "node", "comp").distinct()
+
+    def met_again(self, members: DataFrame, groups: DataFrame, named: DataFrame, nodes: int) -> DataFrame:
         """(grp, node, comp, main): what is to be compared, nodes outside a group's main component with all of the group.
 
-        Groups with more than OUTSIDE nodes outside of it give way to groups by the rarest finer keys of their nodes,
-        where these take fewer comparisons. Either way has every link.
+        Where groups cost more than COMPARED comparisons for each of all `nodes`, the largest ones give way to groups
+        by the rarest finer keys of their nodes, as they are or merged by hub, where these take fewer comparisons. Any way has every link.
         """
         held = members.join(groups, "key").select("grp", "node").distinct().join(named, "node", "left")
         held = shared_table(held.select("grp", "node", F.coalesce("comp", "node").alias("comp")), "members")
         sizes = shared_table(self.crowding(held).where("outside > 0"), "crowding")
-        large = sizes.where(F.col("outside") > OUTSIDE)
-        work = F.sum(F.col("outside").cast("double") * F.col("total"))
+        large = shared_table(self.heavy(sizes, nodes), "crowding")
         if large.isEmpty():
             return held.join(sizes.select("grp", "main"), "grp")
         wanted = held.join(large, "grp", "left_semi").select("node", "comp").distinct()
         finer = shared_table(self.rarest(wanted.select("node")).join(wanted, "node").select("grp", "node", "comp"), "finer")
-        finer_sizes = shared_table(self.crowding(finer).where("outside > 0"), "crowding")
-        before, after = large.select(work.alias("work")).first()["work"], finer_sizes.select(work.alias("work")).first()["work"]
-        if (after or 0) >= before:
+        found = []
+        for way in (finer, shared_table(self.by_hub(finer), "finer")):
+            crowding = shared_table(self.crowding(way).where("outside > 0"), "crowding")
+            found.append((crowding.select(compared().alias("work")).first()["work"] or 0, way, crowding))
+        after, finer, finer_sizes = min(found, key=lambda x: x[0])
+        if after >= large.select(compared().alias("work")).first()["work"]:
             return held.join(sizes.select("grp", "main"), "grp")
-        small = sizes.where(F.col("outside") <= OUTSIDE)
+        small = sizes.join(large, "grp", "left_anti")
         return held.join(small.select("grp", "main"), "grp").union(finer.join(finer_sizes.select("grp", "main"), "grp"))
 
     def across(self, met: DataFrame, facts: DataFrame) -> DataFrame:
@@ -505,7 +543,7 @@ class NgramJoin:
         links = shared_table(self.verified(shared_table(self.narrowed(best, info), "pairs")), "links")
         comps = components(links)
 
-        left = self.across(self.met_again(members, self.groups(met, crowds, comps), comps), facts)
+        left = self.across(self.met_again(members, self.groups(met, crowds, comps), comps, info.count()), facts)
         more = shared_table(self.verified(shared_table(self.narrowed(left, info), "pairs")), "links")
         if not more.isEmpty():
             comps = components(links.union(more))

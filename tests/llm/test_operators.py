@@ -143,6 +143,36 @@ def test_a_passage_of_many_texts_costs_no_square(spark):
     assert max(work / n for n, work in done.items()) <= 64
 
 
+def test_near_copies_meet_by_hub_and_not_at_each_key(spark):
+    """300 nodes at most of 100 keys, 5 others at 50 small keys: the same pairs meet, and seldom twice."""
+    rng = random.Random(12)
+    rows = [(key, node, node) for key in range(1000, 1100) for node in range(300) if rng.random() < 0.9]
+    rows += [(key, node, node) for key in range(2000, 2050) for node in range(400 + key % 10, 405 + key % 10)]
+    finer = spark.createDataFrame(rows, "grp long, node long, comp long")
+
+    def pairs(held):
+        return held.alias("a").join(held.alias("b"), "grp").where("a.node < b.node").selectExpr("a.node AS a", "b.node AS b")
+
+    met = pairs(NgramJoin(docs_of(spark, [])).by_hub(finer))
+    assert {tuple(r) for r in met.distinct().collect()} >= {tuple(r) for r in pairs(finer).distinct().collect()}
+    assert met.where("a < 300").count() <= 3 * met.where("a < 300").distinct().count() < pairs(finer).count() / 10
+
+
+def test_few_comparisons_need_no_finer_keys(spark):
+    """A crowded group is compared as it is while comparisons stay below 32 a text."""
+    rng, rows = random.Random(13), []
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**9)) for _ in range(n)]
+    passage = fresh(60)
+    for others in (1500, 0):
+        texts = [" ".join(fresh(rng.randrange(40, 90)) + passage) for _ in range(200)] + [" ".join(fresh(20)) for _ in range(others)]
+        join, asked = NgramJoin(docs_of(spark, texts)), []
+        rarest = join.rarest
+        join.rarest = lambda wanted, rarest=rarest, asked=asked: asked.append(1) or rarest(wanted)
+        assert {r["component_id"] for r in join.components().collect()} == set(range(len(texts)))
+        rows.append(len(asked))
+    assert rows == [0, 1]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_rarest_finer_keys_never_miss_a_pair(percent):
     rng, bands, pairs = np.random.default_rng(2), Bands(percent), 0
