@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from parchment.operators import match
 from parchment import queries as q
 from parchment.functions.dates import FORMATS, date_tokens, may_hold_date, parse_date
 from parchment.operators import evaluate, export, fallback, match
@@ -96,3 +97,21 @@ def test_review_rows_and_items_are_not_broadcast(spark):
     items = written(spark.sql("SELECT id AS doc_id, array(named_struct('total', 1D)) AS line_items FROM range(50)"), "invoices")
     for found in (export.review_rows(docs, fields), export.item_rows(docs, items)):
         assert found.count() == 50 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_build_no_lists(spark):
+    """Runs of lines with missing texts and boxes are those of a plain loop, without a list of lines for each line."""
+    rows = [(d, p, n, None if (d + n) % 5 == 0 else f"t{d}.{n}", None if (d + n) % 7 == 0 else (float(n), float(-n), float(n * d % 11), 2.0 * n, p)) for d in range(6) for p in range(2) for n in range(p * 20, p * 20 + d * 2)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, box struct<x0: double, y0: double, x1: double, y1: double, page: int>")
+    for most in (1, 3, 6):
+        expected = set()
+        for i, (d, p, n, *_) in enumerate(rows):
+            for size in range(1, most + 1):
+                held = rows[i : i + size]
+                if len(held) == size and all(x[:2] == (d, p) for x in held):
+                    edges = [[x[4][k] for x in held if x[4]] for k in range(4)]
+                    x0, y0, x1, y1 = (pick(e) if e else None for pick, e in zip((min, min, max, max), edges))
+                    expected.add((d, p, n, size, " ".join(x[3] for x in held if x[3] is not None), x0, y0, x1, y1))
+        got = match.windows(lines, most)
+        assert {tuple(r) for r in got.select("doc_id", "page", "start", "size", "text", "box.x0", "box.y0", "box.x1", "box.y1").collect()} == expected
+        assert "collect_list" not in got._jdf.queryExecution().toString()
