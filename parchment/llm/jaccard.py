@@ -228,9 +228,9 @@ class NgramJoin:
     3. What is left are pairs with an equal segment across components. Keys with several
        components go into groups by their hub, or by their first node where there is no crowd,
        so that two nodes with many common keys meet once. In each group, nodes outside its
-       largest component are joined with all others. Where these are many, as with a passage that
-       unlike texts share, the group's nodes get finer segments, and meet by the rarest of them
-       only: of k differences, k + 1 keys (see `Bands.fine_keys`). Sizes and sketches decide within
+       largest component are joined with all others. Where that takes over COMPARED comparisons a node,
+       as with a passage that unlike texts share, nodes of the largest groups get finer segments, and meet by
+       the rarest of them only: of k differences, k + 1 keys (see `Bands.fine_keys`), by hub where that is less. Sizes and sketches decide within
        the join, wide sketches after it, and what passes is verified. Only pairs near the limit are
        ever rows; Spark splits a large group's join by its two sides (adaptive skew join).
     4. Verification recomputes whole sets, of nodes that a filter of a fixed 8 MB lets through.
