@@ -211,6 +211,27 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def long_sketch(wide: bytes, n: int) -> np.ndarray | None:
+    """A wide sketch folded to one to two bits per member, for sets that fill a sketch of SKETCH_WORDS."""
+    if n <= SKETCH_WORDS * 64:
+        return None
+    words = np.frombuffer(wide, np.int64)
+    while len(words) * 32 >= n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def long_apart(x: F.Column, y: F.Column) -> F.Column:
+    """Hamming distance of two long sketches, the longer one folded to the shorter; null where one is missing or more than twice as long."""
+    size = F.least(F.size(x), F.size(y))
+
+    def fold(z: F.Column) -> F.Column:
+        halves = F.zip_with(F.slice(z, 1, size), F.slice(z, size + 1, size), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(z) == size, z).when(F.size(z) == 2 * size, halves)
+
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, v: total + v)
+
+
 class NgramJoin:
     """Links between the word-shingle sets of `docs` that reach a Jaccard similarity, as components.
 
@@ -231,7 +252,7 @@ class NgramJoin:
        largest component are joined with all others. Where that takes over COMPARED comparisons a node,
        as with a passage that unlike texts share, nodes of the largest groups get finer segments, and meet by
        the rarest of them only: of k differences, k + 1 keys (see `Bands.fine_keys`), by hub where that is less. Sizes and sketches decide within
-       the join, wide sketches after it, and what passes is verified. Only pairs near the limit are
+       the join, of long texts sketches of a bit a member, wide sketches after it, and what passes is verified. Only pairs near the limit are
        ever rows; Spark splits a large group's join by its two sides (adaptive skew join).
     4. Verification recomputes whole sets, of nodes that a filter of a fixed 8 MB lets through.
        A node with many partners, such as a hub, is dealt out with a part of them each.
@@ -319,7 +340,22 @@ class NgramJoin:
         """Sizes and the Hamming distance of the sketches, which the difference can't be below, allow a link."""
         apart = sum((F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(SKETCH_WORDS)), F.lit(0))
         near = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent
-        return near & (apart * (100 + self.percent) <= (n_a + n_b) * (100 - self.percent))
+        return near & self.within(apart, n_a, n_b)
+
+    def within(self, apart, n_a, n_b) -> F.Column:
+        """Two sets of these sizes that differ in `apart` members at least can link."""
+        return apart * (100 + self.percent) <= (n_a + n_b) * (100 - self.percent)
+
+    def with_long(self, info: DataFrame) -> DataFrame:
+        """(node, n, sketch, long): `info` with long sketches, null for small sets."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [long_sketch(x.as_buffer(), n) for x, n in zip(batch.column("wide"), batch.column("n").to_pylist(), strict=True)]
+                columns = [batch.column(x) for x in ("node", "n", "sketch")] + [pa.array(words, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "long"])
+
+        return info.select("node", "n", "sketch", "wide").mapInArrow(run, "node long, n long, sketch array<long>, long array<long>")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, members) of the wanted nodes, from whole texts; a few others pass the filter too."""
@@ -425,7 +461,9 @@ class NgramJoin:
 
         How rare a key is comes from a table of 2**COUNTER_BITS counters by its leading bits, which has a
         fixed size. Any order of keys gives all links; this one leaves out passages that many texts share,
-        if they fill less than about two thirds of the segments.
+        if they fill less than about two thirds of the segments. Keys that one node alone has go in the
+        shuffle that counts them. Of the nodes at a key in one slice of a task all but the first are known
+        to share it, and are dealt elsewhere, so that no common key meets in a task whole.
         """
         bands = self.bands
         sets = shared_table(self.sets(wanted), "sets")
@@ -468,9 +506,20 @@ class NgramJoin:
                 first[1:] = (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
                 place = np.arange(len(key))
                 keep = place - np.maximum.accumulate(np.where(first, place, 0)) < needed
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(node[owner[keep]])], ["grp", "node"])
-
-        return sets.mapInArrow(run, "grp long, node long").distinct()
+                key, owner = key[keep], owner[keep]
+                order = np.lexsort((owner, key))
+                same = np.zeros(len(key), bool)
+                same[1:] = key[order[1:]] == key[order[:-1]]
+                again, shared = np.zeros(len(key), bool), np.zeros(len(key), bool)
+                again[order] = same
+                shared[order] = same | np.append(same[1:], False)
+                at = np.where(again, mix(key ^ mix(node[owner].view(np.uint64))), key).view(np.int64)
+                columns = [pa.array(at), pa.array(key.view(np.int64), mask=~again), pa.array(node[owner]), pa.array(shared)]
+                yield pa.RecordBatch.from_arrays(columns, ["at", "key", "node", "shared"])
+
+        found = sets.mapInArrow(run, "at long, key long, node long, shared boolean")
+        found = found.withColumn("nodes", F.count("*").over(Window.partitionBy("at")))
+        return found.where("shared OR nodes > 1").select(F.coalesce("key", "at").alias("grp"), "node")
 
     def crowding(self, held: DataFrame) -> DataFrame:
         """(grp, main, outside, total) of `held` (grp, node, comp): the largest component, nodes outside it, and all nodes."""
@@ -522,12 +571,14 @@ class NgramJoin:
         return held.join(small.select("grp", "main"), "grp").union(finer.join(finer_sizes.select("grp", "main"), "grp"))
 
     def across(self, met: DataFrame, facts: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components of a group of `met`, that size and sketch allow."""
-        held = shared_table(met.select("grp", "node", "comp", "main").join(facts, "node").select("grp", "node", "comp", "n", "sketch", "main"), "members")
-        a = held.where("comp != main").toDF("grp", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "main")))
-        b = held.drop("main").toDF("grp", *(f"{x}_b" for x in ("node", "comp", "n", "sketch")))
+        """Pairs (a, b) of different components of a group of `met`, that size and sketches allow; `facts` (node, n, sketch, long)."""
+        held = shared_table(met.select("grp", "node", "comp", "main").join(facts, "node").select("grp", "node", "comp", "n", "sketch", "long", "main"), "members")
+        a = held.where("comp != main").toDF("grp", *(f"{x}_a" for x in ("node", "comp", "n", "sketch", "long", "main")))
+        b = held.drop("main").toDF("grp", *(f"{x}_b" for x in ("node", "comp", "n", "sketch", "long")))
         once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
-        met = a.join(b, (a["grp"] == b["grp"]) & once & self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")))
+        allowed = self.possible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))
+        allowed &= F.coalesce(self.within(long_apart(F.col("long_a"), F.col("long_b")), F.col("n_a"), F.col("n_b")), F.lit(True))
+        met = a.join(b, (a["grp"] == b["grp"]) & once & allowed)
         return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
@@ -543,7 +594,7 @@ class NgramJoin:
         links = shared_table(self.verified(shared_table(self.narrowed(best, info), "pairs")), "links")
         comps = components(links)
 
-        left = self.across(self.met_again(members, self.groups(met, crowds, comps), comps, info.count()), facts)
+        left = self.across(self.met_again(members, self.groups(met, crowds, comps), comps, info.count()), self.with_long(info))
         more = shared_table(self.verified(shared_table(self.narrowed(left, info), "pairs")), "links")
         if not more.isEmpty():
             comps = components(links.union(more))

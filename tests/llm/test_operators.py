@@ -158,6 +158,39 @@ def test_near_copies_meet_by_hub_and_not_at_each_key(spark):
     assert met.where("a < 300").count() <= 3 * met.where("a < 300").distinct().count() < pairs(finer).count() / 10
 
 
+def test_finer_keys_of_one_text_alone_go(spark):
+    """Unlike texts have many finer keys and share a few: only these are rows, and near copies keep all that they share."""
+    rng = random.Random(14)
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**9)) for _ in range(n)]
+    texts = [" ".join(fresh(150)) for _ in range(200)]
+    texts += [texts[i].rsplit(" ", 2)[0] for i in range(5)] + [texts[9].rsplit(" ", i)[0] for i in range(1, 7)]
+    join = NgramJoin(docs_of(spark, texts))
+    nodes = {r["doc_id"]: r["node"] for r in join.nodes().collect()}
+    held = {}
+    for r in join.rarest(join.nodes().select("node")).collect():
+        held.setdefault(r["grp"], []).append(r["node"])
+    assert min(len(set(x)) for x in held.values()) >= 2 and all(len(set(x)) == len(x) for x in held.values())
+    assert all(any({nodes[i], nodes[200 + i]} <= set(x) for x in held.values()) for i in range(5))
+    assert {nodes[9], *(nodes[i] for i in range(205, 211))} in [set(x) for x in held.values()]
+
+
+@pytest.mark.parametrize("percent", [40, 80])
+def test_long_texts_of_one_passage_are_no_pairs(spark, percent):
+    """Half of each long text is the same passage: sketches of 512 bits are full and say nothing, longer ones do."""
+    rng = random.Random(15)
+    fresh = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**9)) for _ in range(n)]
+    passage = fresh(1500)
+    texts = [" ".join(fresh(rng.randrange(1300, 1700)) + passage) for _ in range(30)]
+    texts += [" ".join(fresh(rng.randrange(1, 60)) + texts[3].split(" ")[90:]), " ".join(fresh(300) + texts[4].split(" "))]
+    join = NgramJoin(docs_of(spark, texts), width=5, percent=percent)
+    info = join.with_long(join.nodes())
+    nodes = {r["doc_id"]: r["node"] for r in join.nodes().collect()}
+    met = spark.createDataFrame([(1, x, x, 0) for x in nodes.values()], "grp long, node long, comp long, main long")
+    pairs = {frozenset((r["a"], r["b"])) for r in join.across(met, info).collect()}
+    linked = {frozenset((nodes[3], nodes[30])), frozenset((nodes[4], nodes[31]))}  # all others have a third in common
+    assert pairs == linked if percent == 80 else pairs >= linked
+
+
 def test_few_comparisons_need_no_finer_keys(spark):
     """A crowded group is compared as it is while comparisons stay below 32 a text."""
     rng, rows = random.Random(13), []
