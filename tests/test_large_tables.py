@@ -1,6 +1,7 @@
 """Queries on keys and numbers of rows beyond those of the small tables."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from parchment.operators import match
 from parchment import queries as q
 from parchment.functions.dates import FORMATS, date_tokens, may_hold_date, parse_date
 from parchment.operators import evaluate, export, fallback, match
-from parchment.sources.tables import written
+from parchment.sources.tables import WRITING, settings_of, written
 
 TABLES = ("pages", "orders", "customer", "lineitem", "part")
 
@@ -115,3 +116,42 @@ def test_windows_build_no_lists(spark):
         got = match.windows(lines, most)
         assert {tuple(r) for r in got.select("doc_id", "page", "start", "size", "text", "box.x0", "box.y0", "box.x1", "box.y1").collect()} == expected
         assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def disk_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    """Once a table is written its shuffles leave the disk; the session keeps its own settings, also after a failure."""
+    before, held = {x: spark.conf.get(x, None) for x in WRITING}, disk_files(spark)
+    table = written(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 10  # they are deleted beside the job's end
+    while disk_files(spark) > held and time.time() < until:
+        time.sleep(0.1)
+    assert disk_files(spark) <= held and table.count() == 7
+    with pytest.raises(Exception):
+        written(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), "failed").count()
+    assert {x: spark.conf.get(x, None) for x in WRITING} == before
+
+
+def test_matched_fields_are_stored_by_kind(spark):
+    """Fields and lines are moved once by document for each kind; nothing is moved to put the kinds together."""
+    invoices = spark.sql("SELECT id AS doc_id, 'abcdef' AS vendor_name, CAST(NULL AS STRING) AS vendor_address, 'INV1' AS invoice_number, DATE'2024-03-05' AS invoice_date, 'MYR' AS currency, 12.5D AS subtotal, CAST(NULL AS DOUBLE) AS tax, 13D AS total_amount, array(named_struct('description', 'bolt', 'quantity', 2D, 'unit_price', CAST(NULL AS DOUBLE), 'total', 12.5D)) AS line_items FROM range(20)")
+    box = "named_struct('x0', 0D, 'y0', 20D * n, 'x1', 1D, 'y1', 20D * n + 16, 'page', 0)"
+    lines = written(spark.sql(f"SELECT id AS doc_id, 0 AS page, n AS line_no, text, {box} AS box FROM range(20), VALUES (0, 'abcdef'), (1, 'Date: 05/03/2024'), (2, 'bolt 2 pcs 12.50'), (3, 'TOTAL RM 13.00') AS t(n, text)"), "lines")
+    seen = []
+    original = match.written
+    match.written = lambda df, name: seen.append((name, df)) or original(df, name)
+    try:
+        found = match.match_fields(match.long_fields(match.by_document(invoices)), lines)
+    finally:
+        match.written = original
+    got = {(x.item_no, x.field): (x.confidence, x.matched_text) for x in found.where("doc_id = 7").collect()}
+    assert len(got) == 12 and found.count() == 240
+    assert got[(0, "total")] == ("high", "bolt 2 pcs 12.50") and got[(0, "quantity")] == ("high", "bolt 2 pcs 12.50") and got[(None, "total_amount")] == ("high", "TOTAL RM 13.00")
+    assert got[(None, "subtotal")] == ("high", "bolt 2 pcs 12.50") and got[(None, "vendor_name")] == ("high", "abcdef") and got[(None, "currency")][0] == "high" and got[(None, "tax")] == (None, None)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    with settings_of(spark, WRITING):
+        numbers = seen[2][1].select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "cents" in numbers and "REPARTITION_BY_COL" in numbers and "ENSURE_REQUIREMENTS" not in numbers
