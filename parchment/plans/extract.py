@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.config import DEFAULTS, Settings
 from parchment.operators.fallback import apply_fallback
-from parchment.operators.match import long_fields, match_fields
+from parchment.operators.match import by_document, long_fields, match_fields
 from parchment.operators.parse import clean_answers
 from parchment.sources.files import truncation_warning
 from parchment.sources.tables import joined, written
@@ -27,7 +27,7 @@ def extract(answers: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS,
         lines = lines.join(ocr_errors.select("doc_id"), "doc_id", "left_anti")
     good = invoices.where("error IS NULL")
     used = lines.where((F.col("page") < settings.max_pages) & (F.col("confidence") >= settings.min_ocr_confidence))
-    fields = apply_fallback(match_fields(long_fields(good), used, settings), used, settings)
+    fields = apply_fallback(match_fields(long_fields(by_document(good)), used, settings), used, settings)
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"), F.count("*").alias("n_lines"))
     order = F.create_map(*[F.lit(x) for i, name in enumerate(FIELD_LABELS) for x in (name, i)])
     label = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])

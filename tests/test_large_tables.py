@@ -155,3 +155,19 @@ def test_matched_fields_are_stored_by_kind(spark):
     with settings_of(spark, WRITING):
         numbers = seen[2][1].select("*")._jdf.queryExecution().executedPlan().toString()
     assert "cents" in numbers and "REPARTITION_BY_COL" in numbers and "ENSURE_REQUIREMENTS" not in numbers
+
+
+def test_only_repairable_fields_are_moved_by_the_fallback(spark):
+    """Totals and dates are stored and joined; all other fields pass by."""
+    fields = spark.sql("SELECT id AS doc_id, CAST(NULL AS INT) AS item_no, field, 'text' AS kind, CAST(NULL AS STRING) AS value, CAST(NULL AS DOUBLE) AS value_num, CAST(NULL AS DATE) AS value_date, 'low' AS confidence, CAST(NULL AS STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE, page: INT>) AS box, 0D AS match_score, CAST(NULL AS STRING) AS matched_text, 'model' AS source FROM range(5), VALUES ('vendor_name'), ('total_amount'), ('subtotal') AS t(field)")
+    lines = spark.sql("SELECT id AS doc_id, 0 AS page, 0 AS line_no, 'TOTAL 13.00' AS text, named_struct('x0', 0D, 'y0', 0D, 'x1', 1D, 'y1', 16D, 'page', 0) AS box FROM range(5)")
+    stored = {}
+    original = fallback.written
+    fallback.written = lambda df, name: stored.setdefault(name, original(df, name))
+    try:
+        done = fallback.apply_fallback(fields, lines)
+    finally:
+        fallback.written = original
+    assert {x.field for x in stored["asked"].select("field").distinct().collect()} == {"total_amount"}
+    got = {(x.doc_id, x.field): (x.value_num, x.source) for x in done.collect()}
+    assert len(got) == 15 and got[(3, "total_amount")] == (13.0, "ocr_fallback") and got[(3, "subtotal")] == (None, "model")
