@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.sources.tables import written as shared_table  # noqa: F401  (the operators take it from here)
+from parchment.sources.tables import stored as shared_table  # noqa: F401  (the operators take it from here)
 
 SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
